@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import digest, find_contamination
 from .quality import QualityModel
+from .simhash import near_duplicates
 from .tokencount import count_tokens
 from .toxicity import ToxicityModel
 
@@ -24,6 +26,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityModel.train(docs, table(spark, sf_dir, "labels")).score(docs, threshold=0.3)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -35,7 +46,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op7_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
