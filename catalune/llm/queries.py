@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import digest, find_contamination
+from .fingerprint import compare_edits
 from .quality import QualityModel
 from .simhash import near_duplicates
 from .tokencount import count_tokens
@@ -26,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityModel.train(docs, table(spark, sf_dir, "labels")).score(docs, threshold=0.3)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,7 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
