@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import digest, find_contamination
 from .fingerprint import compare_edits
+from .htmltext import extract
 from .quality import QualityModel
 from .simhash import near_duplicates
 from .tokencount import count_tokens
@@ -50,8 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
