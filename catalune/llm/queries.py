@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import digest, find_contamination
 from .fingerprint import compare_edits
 from .htmltext import extract
+from .pieces import encode
 from .quality import QualityModel
 from .simhash import near_duplicates
 from .tokencount import count_tokens
@@ -23,6 +24,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digest=True)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return QualityModel.train(docs, table(spark, sf_dir, "labels")).score(docs, threshold=0.3)
@@ -56,7 +61,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
