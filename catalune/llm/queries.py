@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import digest, find_contamination
 from .fingerprint import compare_edits
 from .htmltext import extract
+from .linededup import dedup_lines
 from .pieces import encode
 from .quality import QualityModel
 from .simhash import near_duplicates
@@ -50,6 +51,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_chars", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = ToxicityModel.train(docs, table(spark, sf_dir, "labels")).apply(docs, threshold=0.5)
@@ -61,7 +67,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op9_toxicity, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op8_line_dedup, op9_toxicity, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
