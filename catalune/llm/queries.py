@@ -15,6 +15,7 @@ from .linededup import dedup_lines
 from .pieces import encode
 from .quality import QualityModel
 from .simhash import near_duplicates
+from .substrings import dedup_substrings
 from .tokencount import count_tokens
 from .toxicity import ToxicityModel
 
@@ -38,6 +39,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,7 +72,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_fingerprints, op5_simhash, op6_decontamination, op7_token_counts, op8_line_dedup, op9_toxicity, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_fingerprints, op4_suffix_dedup, op5_simhash, op6_decontamination, op7_token_counts, op8_line_dedup, op9_toxicity, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
