@@ -6,24 +6,31 @@ is removed if an earlier line has a Jaccard similarity of at least
 null ids first. Lines of fewer than ``MIN_TOKENS`` distinct tokens are kept
 and match nothing.
 
-1. Tokens are ordered by rarity: by corpus count where that is at least a
-   ``2**20``-th of all tokens (so at most 2**20 tokens, the one broadcast), the
-   others first, in order of their hashes. Any fixed order keeps the join exact.
+1. Tokens are ordered by rarity. The corpus counts of all tokens are summed in
+   ``BUCKETS`` hash buckets; a token's rank is its bucket's count on a
+   logarithmic scale, one byte a bucket, then its hash. Tokens rarer than
+   about one in ``BUCKETS`` are ordered by hash among themselves; any fixed
+   order keeps the join exact.
 2. Prefix filter: similar lines share a token among their first
    n - ceil(t n) + 1. Lines meet by prefix token; a length filter, the
    positional bound on the overlap and a parity signature (a lower bound on
-   the symmetric difference) are join conditions. Lines of equal token sets
-   are one class and meet others once.
-3. Candidates are verified on the words themselves. A class's first line goes
-   if a similar class begins earlier; all other lines of a class go.
+   the symmetric difference) are join conditions. Lines of equal text (up to
+   case) are one class and meet others once.
+3. Candidates are verified on the words themselves, each class first against
+   the earliest candidate, and against the others if that fails. A class's
+   first line goes if a similar class begins earlier; all other lines of a
+   class go.
 
 Rows with the same id and text are one document here: their lines do not
 remove each other, and all get the same result. Null texts have no lines;
-empty tables give empty results.
+empty tables give empty results. Token and class identity in the join is by
+64-bit hash; verification is on text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,56 +38,59 @@ from .common import written
 
 NUM, DEN = 4, 5
 MIN_TOKENS = 5
-_COUNTED = 1 << 20
+BUCKETS = 1 << 18
 
 
 def _tokens(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text), dealt by row; row is a hash of id and text and never null."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").repartition("row")
-
-
 def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + F.lit(b - 1)) / F.lit(b)).cast("int")
 
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """(token hash, count) of the tokens that make up at least a 2**-20th of all: at most 2**20 rows."""
-    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_tokens(F.col("line"))).alias("w"))
-    counts = written(docs.sparkSession, words.groupBy(F.xxhash64("w").alias("token")).count().where("count > 1"), "line-tokens")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return counts.where(F.col("count") >= total / _COUNTED).select("token", F.least("count", F.lit((1 << 22) - 1)).alias("times"))
-
-
-def prefixes(base: DataFrame, known: DataFrame, num: int, den: int, min_tokens: int) -> DataFrame:
-    """(token, key, n, at, sig, doc_id, row, line): a row for each prefix token of each line; the place only at the first."""
-    lines = base.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select("row", "doc_id", "line", _tokens(F.col("words")).alias("words")).where(F.size("words") >= min_tokens)
-    words = lines.select("row", "doc_id", "line", F.explode("words").alias("w")).select("row", "doc_id", "line", F.xxhash64("w").alias("token"))
-    ranked = words.join(F.broadcast(known), "token", "left")
-    packed = F.shiftleft(F.coalesce("times", F.lit(0).cast("long")), 41).bitwiseOR(F.shiftrightunsigned("token", 23))
-    sig = F.bit_xor(F.expr("shiftleft(1L, cast(token & 63 as int))"))
-    sets = ranked.groupBy("row", "doc_id", "line").agg(F.sort_array(F.collect_set(packed)).alias("set"), sig.alias("sig"))
-    sets = sets.withColumn("n", F.size("set")).withColumn("key", F.xxhash64("set"))
+def rarity(docs: DataFrame) -> bytearray:
+    """The log-scale count of each bucket, from 1 (least) to 127."""
+    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    table = bytearray(b"\1") * BUCKETS
+    got = counts.toArrow()  # at most BUCKETS rows
+    for bucket, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        table[bucket] = min(127, 1 + int(4 * math.log2(n)))
+    return table
+
+
+def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """(doc_id, row, line, key, words) of the lines that take part; key is the class."""
+    lines = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    lines = lines.select("row", "doc_id", "line", F.xxhash64(F.lower("words")).alias("key"), _tokens(F.col("words")).alias("words"))
+    return lines.where(F.size("words") >= min_tokens)
+
+
+def prefixes(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
+    """(token, key, n, at, sig): a row for each prefix token of each line."""
+
+    def ranked(h: Column) -> Column:
+        byte = F.substring(F.lit(ranks), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
+        return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    lines = _lines(docs, min_tokens).select("key", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
+    sig = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = lines.select("key", F.size("h").alias("n"), sig.alias("sig"), F.sort_array(F.transform("h", ranked)).alias("set"))
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = sets.select("row", "doc_id", "line", "key", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
-    head = F.col("at") == 0
-    return out.select("token", "key", F.col("n").cast("int").alias("n"), "at", "sig", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("row")).otherwise(F.lit(0).cast("long")).alias("row"), F.when(head, F.col("line")).otherwise(F.lit(0)).alias("line"))
+    out = lines.select("key", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
+    return out.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"), "key", "n", "at", "sig")
 
 
-def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(row, lines array<int>) of the rows that lose lines."""
-    spark = docs.sparkSession
-    dealt = written(spark, prefixes(_base(docs), rarity(docs), num, den, min_tokens), "line-prefixes")
+def candidates(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
+    """(ka, kb) pairs of classes that pass the filters."""
     # dealt by token once: the grouping and both sides of the join use it
-    held = dealt.select("token", "key", "n", "at", "sig").repartition("token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.first("sig").alias("sig"))
+    dealt = prefixes(docs, ranks, num, den, min_tokens).repartition("token")
+    held = dealt.groupBy("token", "key").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.first("sig").alias("sig"))
     a, b = held.alias("a"), held.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     need = _ceil((na + nb) * num, num + den)
-    pairs = a.join(
+    return a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & ((na < nb) | ((na == nb) & (F.col("a.key") < F.col("b.key"))))
@@ -88,23 +98,41 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: i
         & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need)
         & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need),
     ).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
-    pairs = written(spark, pairs, "line-pairs")
-    places = dealt.where("at = 0").select("key", "doc_id", "row", "line")
-    firsts = places.groupBy("key").agg(F.min(F.struct(F.col("doc_id"), F.col("row"), F.col("line"))).alias("first"))
-    firsts = written(spark, firsts, "line-firsts")
-    # words of the lines that stand for the classes of candidates
-    met = pairs.select(F.col("ka").alias("key")).union(pairs.select(F.col("kb").alias("key"))).distinct()
-    wanted = met.join(firsts, "key").select("key", "first", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    words = wanted.join(texts, "row").select("key", "first", _tokens(F.element_at(F.split("text", "\n"), F.col("line") + 1)).alias("words"))
-    words = written(spark, words, "line-words")
-    wa = words.select(F.col("key").alias("ka"), F.col("first").alias("fa"), F.col("words").alias("wa"))
-    wb = words.select(F.col("key").alias("kb"), F.col("first").alias("fb"), F.col("words").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    close = pairs.join(wa, "ka").join(wb, "kb").where(both * (num + den) >= (F.size("wa") + F.size("wb")) * num)
-    later = close.select(F.when(F.col("fa") < F.col("fb"), F.col("kb")).otherwise(F.col("ka")).alias("key")).distinct().withColumn("later", F.lit(True))
-    judged = firsts.join(later, "key", "left")
+
+
+def _later(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes confirmed to have an earlier similar class, from (early, late) pairs."""
+    early = words.select(F.col("key").alias("early"), F.col("words").alias("we"))
+    late = words.select(F.col("key").alias("late"), F.col("words").alias("wl"))
+    both = F.size(F.array_intersect("we", "wl"))
+    return pairs.join(early, "early").join(late, "late").where(both * (num + den) >= (F.size("we") + F.size("wl")) * num).select("late").distinct()
+
+
+def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(row, lines array<int>) of the rows that lose lines."""
+    spark = docs.sparkSession
+    pairs = written(spark, candidates(docs, rarity(docs), num, den, min_tokens), "line-pairs")
     place = F.struct(F.col("doc_id"), F.col("row"), F.col("line"))
+    places = _lines(docs, min_tokens).select("key", "doc_id", "row", "line")
+    firsts = written(spark, places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-firsts")
+    of = firsts.select("key", "first")
+    met = pairs.join(of.select(F.col("key").alias("ka"), F.col("first").alias("fa")), "ka").join(of.select(F.col("key").alias("kb"), F.col("first").alias("fb")), "kb")
+    ahead = F.col("fa") < F.col("fb")
+    met = met.select(*(F.when(ahead, F.col(x + "a")).otherwise(F.col(x + "b")).alias(y) for x, y in (("k", "early"), ("f", "before"))), F.when(ahead, F.col("kb")).otherwise(F.col("ka")).alias("late"))
+    met = written(spark, met, "line-met")
+    # the words of the lines that stand for the classes of candidates
+    keys = met.select(F.col("early").alias("key")).union(met.select(F.col("late").alias("key"))).distinct()
+    wanted = keys.join(of, "key").groupBy(F.col("first.row").alias("row"), F.col("first.doc_id").alias("owner")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("spots"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    words = wanted.join(texts, (wanted["row"] == texts["row"]) & wanted["owner"].eqNullSafe(texts["doc_id"])).select(F.split("text", "\n").alias("parts"), F.explode("spots").alias("spot"))
+    words = words.select(F.col("spot.key").alias("key"), _tokens(F.element_at("parts", F.col("spot.line") + 1)).alias("words")).dropDuplicates(["key"])
+    nearest = met.groupBy("late").agg(F.min_by("early", "before").alias("early"))
+    words = written(spark, words, "line-words")
+    settled = written(spark, _later(nearest, words, num, den), "line-later")
+    rest = met.join(settled, "late", "left_anti").join(nearest, ["late", "early"], "left_anti").select("early", "late")
+    later = settled.union(_later(rest, words, num, den)).select(F.col("late").alias("key"), F.lit(True).alias("later"))
+    # only classes with something to remove travel on
+    judged = firsts.join(later, "key", "left").where(F.col("later") | (F.col("times") > 1)).select("key", "first", "later")
     gone = places.join(judged, "key").where(F.col("later") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
