@@ -31,35 +31,47 @@ from . import textblock as tb
 
 SAMPLES = 64
 BLOCK = 1 << 20
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 2000
 MAX_BUCKETS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _draws(h: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, ln c and b as (terms, samples) float32 arrays."""
-    step = (np.arange(1, samples + 1, dtype=np.uint64) * _GOLD)[None, :]
-    x = tb.mix(h[:, None] + step)
-    unit = np.float32(1 / 65536)
+    x = tb.mix(h[:, None] + (np.arange(1, samples + 1, dtype=np.uint64) * _GOLD)[None, :])
+    half, unit = np.float32(0.5), np.float32(1 / 65536)
 
-    def part(v: np.ndarray, shift: int) -> np.ndarray:
-        return (((v >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.float32) + np.float32(0.5)) * unit
+    def part(v: np.ndarray, lane: int) -> np.ndarray:
+        out = v.view(np.uint16)[:, lane::4].astype(np.float32)
+        out += half
+        out *= unit
+        return out
 
-    r = -np.log(part(x, 0) * part(x, 16))
-    b = part(x, 32)
+    r = np.log(part(x, 0) * part(x, 1))
+    np.negative(r, out=r)
+    b = part(x, 2)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
-    fine = ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-    c = -np.log(fine) - np.log(part(x, 16))
-    return r, np.log(c), b
+    fine = (x.view(np.uint32)[:, 1::2] >> np.uint32(8)).astype(np.float32)
+    fine += half
+    fine *= np.float32(2.0**-24)
+    c = np.log(fine) + np.log(part(x, 1))
+    return r, np.log(-c), b
 
 
 def _packed(value: np.ndarray, term: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Sortable value in the high half, 16 bits of (term, t) in the low one."""
-    bits = value.view(np.uint32)
-    order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-    ident = (term + t.astype(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
-    return (order << np.uint64(32)) | (ident >> np.uint32(16)).astype(np.uint64) | np.uint64(0x10000)
+    out = np.empty(value.shape + (2,), np.uint32)
+    bits = value.view(np.int32)
+    # flip all bits of negative numbers and the sign of the others
+    np.bitwise_xor(bits, (bits >> 31) | np.int32(-(1 << 31)), out=out[..., 1].view(np.int32))
+    ident = t.astype(np.int32).view(np.uint32)
+    ident *= np.uint32(0x9E3779B1)
+    ident += term
+    ident *= np.uint32(0x85EBCA6B)
+    ident >>= np.uint32(16)
+    out[..., 0] = ident
+    return out.view(np.uint64)[..., 0]
 
 
 def _values(r: np.ndarray, lnc: np.ndarray, b: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -85,8 +97,12 @@ def signatures(col: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     count = np.diff(np.append(np.flatnonzero(first), len(first)))
     row, term = key // len(h), key % len(h)
     low = h.astype(np.uint32)
-    r, lnc, b = _draws(h, samples)
-    once = _values(r, lnc, b, low, factor)
+    r, lnc, b = (np.empty((len(h), samples), np.float32) for _ in range(3))
+    once = np.empty((len(h), samples), np.uint64)
+    for a in range(0, len(h), 512):
+        at = slice(a, a + 512)
+        r[at], lnc[at], b[at] = _draws(h[at], samples)
+        once[at] = _values(r[at], lnc[at], b[at], low[at], factor[at])
     bounds = np.searchsorted(row, np.arange(rows + 1))
     for a in range(0, rows, 16):
         e = min(a + 16, rows)
@@ -124,10 +140,23 @@ def _bounds(docs: DataFrame, bucket_rows: int, max_buckets: int) -> np.ndarray:
     return np.unique(np.array(docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", probs, 1 / (4 * parts))))
 
 
+def _packed_texts(col: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", 1)
+    return pa.array([len(x := t.encode()).to_bytes(8, "little") + codec.compress(x, asbytes=True) for t in col.to_pylist()], pa.binary())
+
+
+def _unpacked(raw: bytes) -> str:
+    size = int.from_bytes(raw[:8], "little")
+    return pa.Codec("zstd").decompress(raw[8:], size, asbytes=True).decode() if size else ""
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, bounds: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, bucket, text, n_chars, sig) of every row; bucket -1 for null ids."""
+    """(doc_id, bucket, packed, tie, n_chars, sig) of every row; bucket -1 for null ids.
+
+    packed is the compressed text, as it travels through the shuffle; tie a hash of it.
+    """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    src = src.withColumn("n_chars", F.char_length("text").cast("long"))
+    src = src.withColumns({"n_chars": F.char_length("text").cast("long"), "tie": F.xxhash64("text")})
     edges = np.zeros(0) if bounds is None else bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +167,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, bounds: np.ndarray | N
                 ids = part.column(0)
                 bucket = np.searchsorted(edges, ids.fill_null(0).to_numpy(), side="right")
                 bucket[ids.is_null().to_numpy(zero_copy_only=False)] = -1
-                yield pa.RecordBatch.from_arrays([ids, pa.array(bucket, pa.int32()), part.column(1), part.column(2), _pack_rows(signatures(col.slice(lo, hi - lo), samples))], names=["doc_id", "bucket", "text", "n_chars", "sig"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(bucket, pa.int32()), _packed_texts(part.column(1)), part.column(3), part.column(2), _pack_rows(signatures(col.slice(lo, hi - lo), samples))], names=["doc_id", "bucket", "packed", "tie", "n_chars", "sig"])
 
-    return src.mapInArrow(run, "doc_id long, bucket int, text string, n_chars long, sig binary")
+    return src.mapInArrow(run, "doc_id long, bucket int, packed binary, tie long, n_chars long, sig binary")
 
 
 def with_next(docs: DataFrame, samples: int = SAMPLES, bucket_rows: int = BUCKET_ROWS, max_buckets: int = MAX_BUCKETS) -> DataFrame:
@@ -148,8 +177,8 @@ def with_next(docs: DataFrame, samples: int = SAMPLES, bucket_rows: int = BUCKET
 
     Rows are dealt into id ranges and sorted there. Each range also receives a
     copy of the first row of the range below it, so no global sort is needed
-    and the text is shuffled once. Rows of equal id follow in order of their
-    texts; rows with a null id come last.
+    and the text is shuffled once. Rows of equal id follow in order of a hash of
+    their texts; rows with a null id come last.
     """
     bounds = _bounds(docs, bucket_rows, max_buckets)
 
@@ -167,13 +196,13 @@ def with_next(docs: DataFrame, samples: int = SAMPLES, bucket_rows: int = BUCKET
     moves = [(top, tops[k - 1][0]) for k, (_, top) in enumerate(tops)]
     heads = spark.createDataFrame(moves, "top long, goes int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lead = texts.join(F.broadcast(heads), texts["doc_id"].eqNullSafe(heads["top"])).groupBy("goes", "doc_id").agg(F.min("text").alias("text"))
+    lead = texts.join(F.broadcast(heads), texts["doc_id"].eqNullSafe(heads["top"])).groupBy("goes", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     whole = fingerprints(docs, samples, bounds).withColumn("copy", F.lit(False))
     lead = fingerprints(lead.select("doc_id", "text"), samples, bounds).drop("bucket").join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top")))
-    lead = lead.select("doc_id", F.col("goes").alias("bucket"), "text", "n_chars", "sig", F.lit(True).alias("copy"))
-    w = Window.partitionBy("bucket").orderBy(F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    lead = lead.select("doc_id", F.col("goes").alias("bucket"), "packed", "tie", "n_chars", "sig", F.lit(True).alias("copy"))
+    w = Window.partitionBy("bucket").orderBy(F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("tie"))
     out = whole.unionByName(lead)
-    return out.withColumns({"next_text": F.lead("text").over(w), "next_sig": F.lead("sig").over(w)}).where(~F.col("copy")).drop("bucket", "copy")
+    return out.withColumns({"next_packed": F.lead("packed").over(w), "next_sig": F.lead("sig").over(w)}).where(~F.col("copy")).drop("bucket", "copy")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -187,12 +216,12 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES, **dealing: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = tb.texts(b, "text")
-            for lo, hi in tb.blocks(sizes, BLOCK):
-                part = b.slice(lo, hi - lo)
-                texts, following = part.column(1).to_pylist(), part.column(4).to_pylist()
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                texts, following = ([_unpacked(x) for x in part.column(k).to_pylist()] for k in (1, 4))
                 edited = [edited_text(t, f) for t, f in zip(texts, following, strict=True)]
-                sig = signatures(pa.array(edited, pa.large_string()), samples)
+                col = pa.array(edited, pa.large_string())
+                sig = np.concatenate([signatures(col.slice(i, j - i), samples) for i, j in tb.blocks(col, BLOCK)])
                 own = np.stack([np.frombuffer(x, np.uint16) for x in part.column(3).to_pylist()])
                 after = np.stack([np.frombuffer(x, np.uint16) for x in part.column(5).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
@@ -208,5 +237,5 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES, **dealing: int) -> Da
                     names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    src = with_next(docs, samples, **dealing).select("doc_id", "text", "n_chars", "sig", "next_text", "next_sig")
+    src = with_next(docs, samples, **dealing).select("doc_id", "packed", "n_chars", "sig", "next_packed", "next_sig")
     return src.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
