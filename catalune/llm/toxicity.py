@@ -3,9 +3,11 @@
 1. Token scores. From labelled training rows, the number of toxic and clean
    documents that hold each hashed token gives a log-odds ratio with an
    informative Dirichlet prior (pseudo-counts in proportion to the token's
-   share of all counts) and its standard deviation. A token's score is the
-   lower confidence bound of its log-odds less a drift, so that only tokens
-   with evidence score above zero and the expected score is negative.
+   share of all counts) and its standard deviation. The same is done for word
+   beginnings of a few lengths, which pool the forms of a stem. A token's score
+   is the largest lower confidence bound among its word and beginnings less a
+   drift, so that only tokens with evidence score above zero and the expected
+   score is negative. Copies of a text count once.
 2. Passages. A linear-time scan finds all maximal-scoring segments of a text
    (disjoint; none can be extended or merged to score more). Tokens between
    two positive ones enter as one run, so the loop visits positive runs only.
@@ -36,23 +38,35 @@ from pyspark.sql import functions as F
 from . import textblock as tb
 from .common import held_out, training_ids
 
-TOKEN_BITS = 18
+TOKEN_BITS = 20
+STEMS = (4, 5, 6)
 TRAIN_ROWS = 20000
-PRIOR = 2000.0
+PRIOR = 20000.0
 DRIFT = 0.2
 FLOOR = -2.0
-BOUND = 2.0
+BOUND = 2.5
 MAX_EXPECT = 0.05
+STRONG = 2.0
+STATS = 5
 _MASK = np.uint64((1 << TOKEN_BITS) - 1)
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, row, start, end, row offsets) of the words of one block."""
+    """(buckets, row, start, end, row offsets) of the words of one block.
+
+    buckets has a column for the word and one for each stem length (the word's
+    own bucket again where the word is no longer than the stem).
+    """
     raw, off = tb.flat(col)
     data = tb.LOWER[raw]
     starts, ends = tb.spans(tb.WORD[data], off)
-    h = tb.span_hashes(data, starts, ends) & _MASK
-    return h.astype(np.int64), tb.rows_of(starts, off), starts, ends, off
+    out = np.empty((len(starts), 1 + len(STEMS)), np.int32)
+    out[:, 0] = tb.span_hashes(data, starts, ends) & _MASK
+    for k, size in enumerate(STEMS, 1):
+        longer = np.flatnonzero(ends - starts > size)
+        out[:, k] = out[:, 0]
+        out[longer, k] = tb.mix(tb.span_hashes(data, starts[longer], starts[longer] + size) + np.uint64(size)) & _MASK
+    return out, tb.rows_of(starts, off), starts, ends, off
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -117,7 +131,10 @@ def passages(bucket: np.ndarray, row: np.ndarray, score: np.ndarray) -> dict[int
     Runs of non-positive tokens between positive runs are summed first, so the
     loop is over positive runs; rows without a positive token are absent.
     """
-    s = score[bucket]
+    s = score[bucket].max(1) if len(bucket) else np.zeros(0)
+    same = np.zeros(len(s), bool)  # a word said again at once is no new evidence
+    same[1:] = (bucket[1:, 0] == bucket[:-1, 0]) & (row[1:] == row[:-1])
+    s[same] = np.minimum(s[same], -DRIFT)
     hot = s > 0
     if not hot.any():
         return {}
@@ -137,10 +154,13 @@ def passages(bucket: np.ndarray, row: np.ndarray, score: np.ndarray) -> dict[int
 
 
 def evidence(col: pa.Array, score: np.ndarray, lam: float, k: float) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Document statistics (rows, 4) and the significant passages as (first byte, end byte, expectation)."""
+    """Document statistics (rows, STATS) and the significant passages as (first byte, end byte, expectation)."""
     bucket, row, starts, ends, off = tokens(col)
     n = np.bincount(row, minlength=len(col))
-    stats = np.zeros((len(col), 4))
+    stats = np.zeros((len(col), STATS))
+    strong = np.flatnonzero(score[bucket].max(1) >= STRONG) if len(bucket) else np.zeros(0, np.int64)
+    words = np.unique((row[strong].astype(np.int64) << TOKEN_BITS) | bucket[strong, 0]) >> TOKEN_BITS
+    stats[:, 4] = np.log1p(np.bincount(words, minlength=len(col)))
     spots: list[list[tuple[int, int, float]]] = [[] for _ in range(len(col))]
     for r, segments in passages(bucket, row, score).items():
         size = np.log(max(k * n[r], 1.0))
@@ -151,7 +171,7 @@ def evidence(col: pa.Array, score: np.ndarray, lam: float, k: float) -> tuple[np
             if size - bits <= np.log(MAX_EXPECT):
                 held += bits - size
                 spots[r].append((int(starts[a] - off[r]), int(ends[b] - off[r]), float(np.exp(size - bits))))
-        stats[r] = min(best, 40) / 10, min(max(best - size, -10.0), 30) / 10, min(np.log1p(held), 6) / 3, np.log1p(len(spots[r]))
+        stats[r, :4] = min(best, 40) / 10, min(max(best - size, -10.0), 30) / 10, min(np.log1p(held), 6) / 3, np.log1p(len(spots[r]))
     return stats, spots
 
 
@@ -170,6 +190,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w
 
 
+def probabilities(col: pa.Array, score: np.ndarray, lam: float, k: float, weights: np.ndarray) -> tuple[np.ndarray, list]:
+    """Calibrated probabilities and significant passages of the texts of one block."""
+    x, spots = evidence(col, score, lam, k)
+    return np.round(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))), 6), spots
+
+
 @dataclass
 class ToxicityModel:
     score: np.ndarray | None = None
@@ -179,8 +205,8 @@ class ToxicityModel:
 
     @classmethod
     def train(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-        """Two passes over the sample: token counts (at most 2^18 buckets), then statistics."""
-        sample = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, label, train_rows)), "doc_id").select("y", "text")
+        """Two passes over the sample: token counts (at most 2^20 buckets), then statistics."""
+        sample = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, label, train_rows)), "doc_id").groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
 
         def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.zeros((2, 1 << TOKEN_BITS), np.int64)
@@ -188,7 +214,7 @@ class ToxicityModel:
                 col, y = tb.texts(b, "text"), b.column(0).to_numpy() > 0.5
                 for lo, hi in tb.blocks(col):
                     bucket, row, *_ = tokens(col.slice(lo, hi - lo))
-                    own = np.unique((row << TOKEN_BITS) | bucket)
+                    own = np.unique((np.repeat(row, bucket.shape[1]) << TOKEN_BITS) | bucket.ravel())
                     marked = y[lo:hi][own >> TOKEN_BITS]
                     own &= (1 << TOKEN_BITS) - 1
                     both[1] += np.bincount(own[marked], minlength=1 << TOKEN_BITS)
@@ -202,7 +228,7 @@ class ToxicityModel:
         toxic[b], clean[b] = t, c
         if toxic.sum() == 0 or clean.sum() == 0:
             return cls()
-        model = cls(log_odds(toxic, clean))
+        model = cls(log_odds(toxic, clean).astype(np.float32))
         model.lam, model.k = karlin(model.score, clean)
         shared = docs.sparkSession.sparkContext.broadcast((model.score, model.lam, model.k))
 
@@ -211,15 +237,31 @@ class ToxicityModel:
                 col = tb.texts(b, "text")
                 for lo, hi in tb.blocks(col):
                     x, _ = evidence(col.slice(lo, hi - lo), *shared.value)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(x[:, i]) for i in range(4))], names=["y", "a", "b", "c", "d"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(x[:, i]) for i in range(STATS))], names=["y", *names])
 
-        got = sample.mapInArrow(stats, "y double, a double, b double, c double, d double").toArrow()
-        x = np.stack([got.column(i).to_numpy() for i in "abcd"], 1)
+        names = [f"x{i}" for i in range(STATS)]
+        got = sample.mapInArrow(stats, ", ".join(f"{n} double" for n in ["y", *names])).toArrow()
+        x = np.stack([got.column(n).to_numpy() for n in names], 1)
         y = got.column("y").to_numpy()
         order = np.lexsort((y, *x.T))
         model.weights = logistic(x[order], y[order])
         return model
 
+    def keep(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """The rows of ``docs`` whose score is below the threshold, all columns; all rows without a model."""
+        if self.weights is None:
+            return docs
+        model = docs.sparkSession.sparkContext.broadcast((self.score, self.lam, self.k, self.weights))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                col = tb.texts(b, "text")
+                for lo, hi in tb.blocks(col):
+                    p, _ = probabilities(col.slice(lo, hi - lo), *model.value)
+                    yield b.slice(lo, hi - lo).filter(pa.array(p < threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
     def apply(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         """``docs`` with score, predicted and passages (byte ranges of significant passages)."""
         model = docs.sparkSession.sparkContext.broadcast((self.score, self.lam, self.k, self.weights))
@@ -235,8 +277,7 @@ class ToxicityModel:
                     if weights is None:
                         p, spots = np.full(hi - lo, 0.5), [[] for _ in range(hi - lo)]
                     else:
-                        x, spots = evidence(col.slice(lo, hi - lo), score, lam, k)
-                        p = np.round(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))), 6)
+                        p, spots = probabilities(col.slice(lo, hi - lo), score, lam, k, weights)
                     found = [[{"first": a, "end": e, "expect": v} for a, e, v in s] for s in spots]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array(found, spot)], names=["doc_id", "score", "passages"])
 
