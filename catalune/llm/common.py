@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from uuid import uuid4
@@ -30,10 +31,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    The shuffle files of what led to the table are of no more use. Spark drops
+    them once the driver's JVM has collected the objects that refer to them, so
+    a collection is asked for; otherwise the disks hold the shuffles of every
+    finished step at once.
+    """
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -74,9 +74,10 @@ def prefixes(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens:
         byte = F.substring(F.lit(ranks), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
         return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    lines = _lines(docs, min_tokens).select("key", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
-    sig = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = lines.select("key", F.size("h").alias("n"), sig.alias("sig"), F.sort_array(F.transform("h", ranked)).alias("set"))
+    lines = _lines(docs, min_tokens).select("key", F.sort_array(F.transform("words", lambda w: ranked(F.xxhash64(w)))).alias("set"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    sig = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+    lines = lines.select("key", F.size("set").alias("n"), sig.alias("sig"), "set")
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
     out = lines.select("key", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
     return out.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"), "key", "n", "at", "sig")

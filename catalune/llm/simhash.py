@@ -16,7 +16,7 @@ Null and blank texts have no words and fingerprint zero, which links like any
 other. Fewer words than a shingle make one shingle. Repeated rows have equal
 fingerprints and share a component. Rows with a null id are fingerprinted and
 take part in linking, but a component id is the smallest non-null id. Extra
-columns are ignored.
+columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from .common import written
 from .components import components
 
 RADIUS = 2
+DROP_RADIUS = 6  # of 64 bits: a cosine of about 0.95 of the shingle vectors, a Jaccard similarity of about 0.9
 TILE = 4096
 NEAR = 32  # shifts compared directly before whole tiles are
 _LANES = np.uint64(0x0101010101010101)
@@ -75,9 +76,10 @@ def fingerprint_block(rows: list[bytes], words: int = 3, seed: int = 42) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every row."""
-    src = docs.select("doc_id", "text")
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, keep: str | None = None) -> DataFrame:
+    """(doc_id, fp long) of every row, and the column ``keep`` if named."""
+    src = docs.select("doc_id", "text", *([keep] if keep else []))
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long" + (f", {keep} {src.schema[keep].dataType.simpleString()}" if keep else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,9 +88,10 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 data, off = tb.flat(col.slice(lo, hi - lo))
                 raw = data.tobytes()
                 fp = fingerprint_block([raw[a:e] for a, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], words, seed)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols + ([b.column(2).slice(lo, hi - lo)] if keep else []), names=["doc_id", "fp"] + ([keep] if keep else []))
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(run, schema)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,26 +204,31 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _classes(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fp, root) of the fingerprints; root is the same for all that links connect."""
+    nodes = written(prints.sparkSession, prints.select("fp").distinct(), "simhash-nodes")
+    roots = components(links(nodes, radius, tile)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    spark = docs.sparkSession
-    prints = written(spark, fingerprints(docs, words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = written(spark, nodes, "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
-    tied = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = written(docs.sparkSession, fingerprints(docs, words), "simhash")
+    tied = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(_classes(prints, radius, tile), "fp")
     least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = tied.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest id.
+def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = DROP_RADIUS, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each group: the one of smallest id (null ids last), then of smallest text hash.
 
-    Repeated rows of that id are copies of it and one stays; rows with a null
-    id stay unless an identified document is in their group.
+    Equal rows are copies of each other and one stays.
     """
-    found = near_duplicates(docs, words, radius, tile).where("doc_id is not null")
-    rest = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    keyed = docs.where(F.col("doc_id").isNotNull()).join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return keyed.unionByName(docs.where(F.col("doc_id").isNull()))
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    prints = written(docs.sparkSession, fingerprints(own, words, keep="row"), "simhash")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    first = prints.groupBy("fp").agg(F.min(rank).alias("first")).join(_classes(prints, radius, tile), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.row").alias("__row"))
+    out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(kept, "__row", "left_semi")
+    return out.dropDuplicates(["__row"]).drop("__row")
