@@ -1,0 +1 @@
+"""Sources: adapters from raw inputs to the canonical catalogue."""
