@@ -37,7 +37,7 @@ from . import textblock as tb
 
 ALPHA = 1.0
 SEED = 20240229
-KEPT_NODES = 4_000_000
+KEPT_NODES = 1_500_000
 BLOCK = 1 << 20
 FALLBACK = -16.0
 _MARK, _LITERAL = 0x2581, 0x110000
@@ -126,9 +126,9 @@ class Lattice:
         self.known = np.zeros(0, np.uint64)  # sorted hashes of stretches
         self.known_at = np.zeros(0, np.int64)  # their first node
         self.node_edge = np.zeros(1, np.int64)  # node -> first incoming edge
-        self.edge_size = np.zeros(0, np.int64)  # characters
-        self.edge_piece = np.zeros(0, np.int64)  # piece, or -1: bytes
-        self.edge_upto = np.zeros(0)  # cumulative share within the node
+        self.edge_size = np.zeros(0, np.uint8)  # characters
+        self.edge_piece = np.zeros(0, np.int32)  # piece, or -1: bytes
+        self.edge_upto = np.zeros(0, np.float32)  # cumulative share within the node
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Child nodes, 0 where there is none."""
@@ -210,9 +210,9 @@ class Lattice:
         upto = running - np.repeat(running[begin] - share[begin], per_node)
         upto[begin + per_node - 1] = 2.0  # the last edge takes what rounding leaves
         base = len(self.edge_upto)
-        self.edge_size = np.concatenate((self.edge_size, (last + 1 - starts[order])))
-        self.edge_piece = np.concatenate((self.edge_piece, pieces[order]))
-        self.edge_upto = np.concatenate((self.edge_upto, upto))
+        self.edge_size = np.concatenate((self.edge_size, (last + 1 - starts[order]).astype(np.uint8)))
+        self.edge_piece = np.concatenate((self.edge_piece, pieces[order].astype(np.int32)))
+        self.edge_upto = np.concatenate((self.edge_upto, upto.astype(np.float32)))
         self.node_edge = np.concatenate((self.node_edge[:-1], base + begin, [base + len(upto)]))
 
     def sample(self, col: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +262,7 @@ class Lattice:
             while len(todo):
                 edge[todo] += 1
                 todo = todo[self.edge_upto[edge[todo]] <= u[todo]]
-            left = left - self.edge_size[edge]
+            left = left - self.edge_size[edge].astype(np.int64)
             piece_at[first[live] + left] = self.edge_piece[edge]
             end[live] = left
             live = live[left > 0]
@@ -340,6 +340,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = S
                     ],
                     names=["doc_id", "n_chars", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"],
                 )
+        model.reset()  # a worker outlives its task; what it keeps would add to other stages
 
     if digest:
         return src.mapInArrow(run, f"doc_id {kind}, n_chars long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
