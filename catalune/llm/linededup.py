@@ -63,8 +63,9 @@ def rarity(docs: DataFrame) -> bytearray:
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """(doc_id, row, line, key, words) of the lines that take part; key is the class."""
     lines = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select("row", "doc_id", "line", F.xxhash64(F.lower("words")).alias("key"), _tokens(F.col("words")).alias("words"))
-    return lines.where(F.size("words") >= min_tokens)
+    # most lines show enough different words at once; only the others are looked at in full
+    soon = F.size(F.array_remove(F.array_distinct(F.slice(F.split(F.lower("words"), " "), 1, 4 * min_tokens)), "")) >= min_tokens
+    return lines.where(soon | (F.size(_tokens(F.col("words"))) >= min_tokens)).withColumn("key", F.xxhash64(F.lower("words")))
 
 
 def prefixes(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
@@ -74,7 +75,7 @@ def prefixes(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens:
         byte = F.substring(F.lit(ranks), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
         return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    lines = _lines(docs, min_tokens).select("key", F.sort_array(F.transform("words", lambda w: ranked(F.xxhash64(w)))).alias("set"))
+    lines = _lines(docs, min_tokens).select("key", F.sort_array(F.transform(_tokens(F.col("words")), lambda w: ranked(F.xxhash64(w)))).alias("set"))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     sig = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
     lines = lines.select("key", F.size("set").alias("n"), sig.alias("sig"), "set")
@@ -101,12 +102,14 @@ def candidates(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens
     ).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
 
 
-def _later(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
+def _later(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Classes confirmed to have an earlier similar class, from (early, late) pairs."""
-    early = words.select(F.col("key").alias("early"), F.col("words").alias("we"))
-    late = words.select(F.col("key").alias("late"), F.col("words").alias("wl"))
-    both = F.size(F.array_intersect("we", "wl"))
-    return pairs.join(early, "early").join(late, "late").where(both * (num + den) >= (F.size("we") + F.size("wl")) * num).select("late").distinct()
+    early = texts.select(F.col("key").alias("early"), F.col("words").alias("we"))
+    late = texts.select(F.col("key").alias("late"), F.col("words").alias("wl"))
+    # lines travel as text and are split where they meet
+    both = pairs.join(early, "early").join(late, "late").select("late", _tokens(F.col("we")).alias("we"), _tokens(F.col("wl")).alias("wl"))
+    common = F.size(F.array_intersect("we", "wl"))
+    return both.where(common * (num + den) >= (F.size("we") + F.size("wl")) * num).select("late").distinct()
 
 
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -114,7 +117,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: i
     spark = docs.sparkSession
     pairs = written(spark, candidates(docs, rarity(docs), num, den, min_tokens), "line-pairs")
     place = F.struct(F.col("doc_id"), F.col("row"), F.col("line"))
-    places = _lines(docs, min_tokens).select("key", "doc_id", "row", "line")
+    places = written(spark, _lines(docs, min_tokens).select("key", "doc_id", "row", "line"), "line-places")
     firsts = written(spark, places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-firsts")
     of = firsts.select("key", "first")
     met = pairs.join(of.select(F.col("key").alias("ka"), F.col("first").alias("fa")), "ka").join(of.select(F.col("key").alias("kb"), F.col("first").alias("fb")), "kb")
@@ -126,7 +129,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: i
     wanted = keys.join(of, "key").groupBy(F.col("first.row").alias("row"), F.col("first.doc_id").alias("owner")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("spots"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     words = wanted.join(texts, (wanted["row"] == texts["row"]) & wanted["owner"].eqNullSafe(texts["doc_id"])).select(F.split("text", "\n").alias("parts"), F.explode("spots").alias("spot"))
-    words = words.select(F.col("spot.key").alias("key"), _tokens(F.element_at("parts", F.col("spot.line") + 1)).alias("words")).dropDuplicates(["key"])
+    words = words.select(F.col("spot.key").alias("key"), F.element_at("parts", F.col("spot.line") + 1).alias("words")).dropDuplicates(["key"])
     nearest = met.groupBy("late").agg(F.min_by("early", "before").alias("early"))
     words = written(spark, words, "line-words")
     settled = written(spark, _later(nearest, words, num, den), "line-later")
