@@ -1,0 +1,250 @@
+"""Graphs: adjacency, components, shortest paths, repair, itineraries.
+
+Large graphs are processed by relational rounds with their lineage cut through
+the shared checkpoint folder; graphs that are small per site are solved in one
+grouped call a site.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+
+
+def ensure_checkpoint_dir(df: DataFrame) -> None:
+    """Use the cluster's shared folder; a local one only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or "/tmp/catalune-checkpoints")
+
+
+def symmetric(edges: DataFrame) -> DataFrame:
+    """Every edge in both directions."""
+    cols = [c for c in edges.columns if c not in ("a", "b")]
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *cols))
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, degree, doors): 0 for nodes without edges."""
+    ends = symmetric(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"), F.count_if(F.col("kind") == "door").alias("doors"))
+    return nodes.select("id").join(ends, "id", "left").fillna(0, ["degree", "doors"])
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that can be reached.
+
+    Each round takes the least label among a node and its neighbours and then
+    the label of that label, so long chains shrink fast; it ends when the sum
+    of labels' hashes stays.
+    """
+    ensure_checkpoint_dir(nodes)
+    both = symmetric(edges.select("a", "b")).distinct().checkpoint()
+    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
+
+    def sign(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first())
+
+    before = sign(labels)
+    while True:
+        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("n"))
+        least = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("n", "component")).alias("component"))
+        jump = least.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        labels = least.join(jump, "component").select("id", F.col("far").alias("component")).checkpoint()
+        after = sign(labels)
+        if after == before:
+            return labels
+        before = after
+
+
+def main_components(labelled: DataFrame, by: list[str]) -> DataFrame:
+    """The largest component of each site; ties go to the smaller label."""
+    n = labelled.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), "component")
+    return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(id, dist, hops) from any source, over the whole graph at once: rounds of relaxation from the changed nodes only."""
+    ensure_checkpoint_dir(edges)
+    both = symmetric(edges.select("a", "b", "len")).groupBy("a", "b").agg(F.min("len").alias("len")).checkpoint()
+    best = sources.select("id", F.lit(0.0).alias("dist"), F.lit(0).alias("hops")).checkpoint()
+    front = best
+    for _ in range(max_rounds):
+        reach = front.join(both, front.id == both.a).groupBy(F.col("b").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("len")).alias("dist"), (F.col("hops") + 1).alias("hops"))).alias("n"))
+        better = reach.join(best.select("id", F.col("dist").alias("old")), "id", "left").where(F.col("old").isNull() | (F.col("n.dist") < F.col("old"))).select("id", "n.dist", "n.hops").checkpoint()
+        if not better.limit(1).count():
+            break
+        best = best.join(better.select("id"), "id", "left_anti").unionByName(better).checkpoint()
+        front = better
+    return best
+
+
+def dijkstra(adjacent: dict, starts: list, goals: set, avoid: frozenset = frozenset()) -> tuple[list, float] | None:
+    """(path, length) between the nearest start and goal, or None. Ties go to the smaller node."""
+    known = {s: (0.0, None) for s in starts if s in adjacent}
+    queue = [(0.0, s) for s in known]
+    heapq.heapify(queue)
+    done = set()
+    while queue:
+        d, at = heapq.heappop(queue)
+        if at in done:
+            continue
+        done.add(at)
+        if at in goals:
+            path = [at]
+            while known[path[-1]][1] is not None:
+                path.append(known[path[-1]][1])
+            return path[::-1], d
+        for to, size, kind in adjacent[at]:
+            if kind in avoid or to in done:
+                continue
+            if to not in known or d + size < known[to][0]:
+                known[to] = (d + size, at)
+                heapq.heappush(queue, (d + size, to))
+    return None
+
+
+def _adjacency(edges: pd.DataFrame) -> dict:
+    out: dict = {}
+    for a, b, size, kind in zip(edges.a, edges.b, edges.len, edges.kind, strict=True):
+        out.setdefault(a, []).append((b, size, kind))
+        out.setdefault(b, []).append((a, size, kind))
+    for v in out.values():
+        v.sort()
+    return out
+
+
+def routes(edges: DataFrame, pairs: DataFrame, avoid: tuple[str, ...] = ()) -> DataFrame:
+    """(site, pair, length, hops, path) of each pair (site, pair, source, target); length null if unreachable.
+
+    A site's graph is small (thousands of nodes), so each site is one group;
+    ``distances`` serves graphs that are not.
+    """
+
+    def solve(key: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        near = _adjacency(e)
+        rows = []
+        for pair, s, t in zip(p.pair, p.source, p.target, strict=True):
+            near.setdefault(s, [])
+            got = dijkstra(near, [s], {t}, frozenset(avoid)) if s == t or t in near else None
+            rows.append((key[0], pair, *((None, None, None) if got is None else (got[1], len(got[0]) - 1, [str(x) for x in got[0]]))))
+        return pd.DataFrame(rows, columns=["site", "pair", "length", "hops", "path"])
+
+    site = edges.schema["site"].dataType.simpleString()
+    pair = pairs.schema["pair"].dataType.simpleString()
+    pairs = pairs.select(*(F.col(c).alias(c) for c in pairs.columns))  # pairs may come from the edges
+    return edges.groupBy("site").cogroup(pairs.groupBy("site")).applyInPandas(solve, f"site {site}, pair {pair}, length double, hops int, path array<string>")
+
+
+def vertical_edges(stops: DataFrame, per_level: Column) -> DataFrame:
+    """(shaft, a, b, len) between consecutive floors of a shaft; same floors are skipped. stops: (shaft, id, floor, kind)."""
+    w = Window.partitionBy("shaft").orderBy("floor", "id")
+    j = stops.withColumns({"b": F.lead("id").over(w), "_f": F.lead("floor").over(w)})
+    return j.where(F.col("b").isNotNull() & (F.col("_f") != F.col("floor"))).select("shaft", F.col("id").alias("a"), "b", (per_level * (F.col("_f") - F.col("floor"))).alias("len"))
+
+
+def nearby_pairs(points: DataFrame, keys: list[str], distance: float, same: bool = True, dist: Callable | None = None) -> DataFrame:
+    """(a, b, d): pairs of (id, x, y, *keys) at most ``distance`` apart, by a grid: each point meets its own and adjacent cells only."""
+    cell = lambda c: F.floor(F.col(c) / distance).cast("long")
+    p = points.withColumns({"_i": cell("x"), "_j": cell("y")})
+    around = F.array(*(F.struct((F.col("_i") + di).alias("i"), (F.col("_j") + dj).alias("j")) for di in (-1, 0, 1) for dj in (-1, 0, 1)))
+    a = p.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *keys, F.inline(around).alias("i", "j"))
+    b = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *keys, F.col("_i").alias("i"), F.col("_j").alias("j"))
+    j = a.join(b, [*keys, "i", "j"]).where("a < b") if same else a.join(b, [*keys, "i", "j"]).where("a <> b")
+    d = dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) if dist else F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+    return j.withColumn("d", d).where(F.col("d") <= distance).select("a", "b", *keys, "d")
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float) -> DataFrame:
+    """(a, b, len): for each stray component the shortest link to its site's main component, if within ``distance``."""
+    lab = components(nodes, edges).join(nodes.select("id", "x", "y", *by), "id")
+    top = main_components(lab, by).select(*by, F.col("component").alias("_main"))
+    lab = lab.join(top, by)
+    close = nearby_pairs(lab, by, distance, same=False)
+    side = lab.select("id", "component", (F.col("component") == F.col("_main")).alias("in_main"))
+    j = close.join(side.select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("in_main").alias("ma")), "a").join(side.select(F.col("id").alias("b"), F.col("in_main").alias("mb")), "b")
+    best = j.where(~F.col("ma") & F.col("mb")).groupBy("ca").agg(F.min(F.struct(F.col("d"), F.col("a"), F.col("b"))).alias("m"))
+    return best.select("m.a", "m.b", F.col("m.d").alias("len"))
+
+
+def repair(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float, passes: int = 3) -> DataFrame:
+    """Edges with bridges added, pass after pass until none is found; labels hold within a pass."""
+    ensure_checkpoint_dir(nodes)
+    out = edges
+    for _ in range(passes):
+        new = bridges(nodes, out, by, distance).withColumn("kind", F.lit("bridge")).checkpoint()
+        if not new.limit(1).count():
+            break
+        out = out.unionByName(new, allowMissingColumns=True).checkpoint()
+    return out
+
+
+def prune(nodes: DataFrame, edges: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the main components only."""
+    lab = components(nodes, edges).join(nodes.select("id", *by), "id")
+    top = main_components(lab, by).select(*by, "component")
+    kept = lab.join(top, [*by, "component"], "left_semi").select("id")
+    ends = kept.select(F.col("id").alias("a"))
+    return nodes.join(kept, "id", "left_semi"), edges.join(ends, "a", "left_semi").join(kept.select(F.col("id").alias("b")), "b", "left_semi")
+
+
+def accounting(rooms: DataFrame, matched: DataFrame, reachable: DataFrame, key: str = "id") -> DataFrame:
+    """Each room as reachable, stranded or unmatched."""
+    j = rooms.join(matched.select(key).distinct().withColumn("_m", F.lit(True)), key, "left").join(reachable.select(key).distinct().withColumn("_r", F.lit(True)), key, "left")
+    return j.withColumn("status", F.when(F.col("_r"), "reachable").when(F.col("_m"), "stranded").otherwise("unmatched")).drop("_m", "_r")
+
+
+def runs(df: DataFrame, by: list[str], order: str, same: list[str]) -> DataFrame:
+    """A run number for consecutive rows with equal ``same`` columns (gaps and islands)."""
+    w = Window.partitionBy(*by).orderBy(order)
+    key = F.struct(*same)
+    change = F.when(F.lag(key).over(w).eqNullSafe(key), 0).otherwise(1)
+    return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(w)).drop("_c")
+
+
+def itinerary(visits: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Steps of a route: consecutive visits to one space merge; a ride over several floors is one step, at its last row.
+
+    visits: (space, kind, floor, bearing); kind is walk, stairs or elevator.
+    """
+    v = runs(visits.withColumn("_s", F.when(F.col("kind") == "walk", F.col("space")).otherwise(F.lit(None).cast("string"))), by, order, ["kind", "_s"]).drop("_s")
+    g = v.groupBy(*by, "run").agg(F.max_by(F.struct("space", "kind", "floor", "bearing"), order).alias("s"), F.count("*").alias("merged"))
+    g = g.select(*by, "run", "s.space", "s.kind", "s.floor", "s.bearing", "merged")
+    w = Window.partitionBy(*by).orderBy("run")
+    last = F.lead("run").over(w).isNull()
+    text = (
+        F.when(F.col("kind") != "walk", F.concat(F.lit("Take the "), F.col("kind"), F.lit(" to floor "), F.col("floor").cast("int").cast("string")))
+        .when(F.lag("run").over(w).isNull(), F.concat(F.lit("Start in "), F.col("space")))
+        .when(last, F.concat(F.lit("Arrive at "), F.col("space")))
+        .otherwise(F.concat(F.lit("Exit through the "), F.coalesce(geo.compass(F.col("bearing") + 180), F.lit("next")), F.lit(" door into "), F.col("space")))
+    )
+    return g.withColumn("instruction", text)
+
+
+def cluster_doors(doors: DataFrame, by: list[str], distance: float = 3.0) -> DataFrame:
+    """(by…, cluster, x, y, members): greedy single-link clusters in input order; they are not merged later. doors: (ordinal, x, y)."""
+
+    def cluster(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("ordinal")
+        groups: list[list[tuple[float, float]]] = []
+        for x, y in zip(p.x, p.y, strict=True):
+            for g in groups:
+                if any((x - a) ** 2 + (y - b) ** 2 <= distance**2 for a, b in g):
+                    g.append((x, y))
+                    break
+            else:
+                groups.append([(x, y)])
+        out = pd.DataFrame({"cluster": range(len(groups)), "x": [sum(a for a, _ in g) / len(g) for g in groups], "y": [sum(b for _, b in g) / len(g) for g in groups], "members": [len(g) for g in groups]})
+        for k, c in enumerate(by):
+            out.insert(k, c, p[c].iloc[0])
+        return out
+
+    kinds = ", ".join(f"{c} {doors.schema[c].dataType.simpleString()}" for c in by)
+    return doors.groupBy(*by).applyInPandas(cluster, f"{kinds}, cluster int, x double, y double, members int")
