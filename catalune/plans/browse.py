@@ -71,7 +71,7 @@ def amenity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PARTS}, l AS (SELECT objectID AS label, CASE WHEN objectID % 3 = 0 THEN upper(accession) ELSE '' END AS accession, upper(title) AS title, artist FROM part_o WHERE objectID % 50 = 0 OR objectID = 7),
+    f"""WITH {PARTS}, l AS (SELECT objectID AS label, CASE WHEN objectID % 3 = 0 THEN upper(accession) ELSE '' END AS accession, upper(title) AS title, artist FROM part_o),
     a AS (SELECT replace(lower(accession), ' ', '') AS k, min(objectID) AS ia FROM part_o GROUP BY 1 HAVING count(*) = 1),
     t AS (SELECT title AS k, min(objectID) AS it FROM (SELECT objectID, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS title FROM part_o) GROUP BY 1 HAVING count(*) = 1),
     r AS (SELECT title AS k, artist AS k2, min(objectID) AS ir FROM (SELECT objectID, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS title, trim(regexp_replace(lower(artist), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS artist FROM part_o) GROUP BY ALL HAVING count(*) = 1),
@@ -82,7 +82,7 @@ def amenity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read labels matched by accession, title, or title and artist, if unique."""
     parts = part_objects(spark, sf_dir)
-    labels = parts.where("objectID % 50 = 0 OR objectID = 7").select(F.col("objectID").alias("label"), F.when(F.col("objectID") % 3 == 0, F.upper("accession")).otherwise("").alias("accession"), F.upper("title").alias("title"), "artist")
+    labels = parts.select(F.col("objectID").alias("label"), F.when(F.col("objectID") % 3 == 0, F.upper("accession")).otherwise("").alias("accession"), F.upper("title").alias("title"), "artist")
     return browse.match_labels(labels, parts)
 
 
@@ -121,10 +121,10 @@ def floor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("n_name").alias("name"), "known", F.row_number().over(w).alias("place"))
 
 
-@query(f"WITH d AS (SELECT doc_id, {_toks('text')} AS t FROM documents WHERE lang = 'en'), x AS (SELECT doc_id, unnest(list_distinct(t)) AS term FROM d), f AS (SELECT term, count(*) AS df FROM x GROUP BY term) SELECT doc_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS place FROM x JOIN f USING (term) QUALIFY place <= 2")
+@query(f"WITH d AS (SELECT doc_id, {_toks('text')} AS t FROM documents), x AS (SELECT doc_id, unnest(list_distinct(t)) AS term FROM d), f AS (SELECT term, count(*) AS df FROM x GROUP BY term) SELECT doc_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS place FROM x JOIN f USING (term) QUALIFY place <= 2")
 def rarest_two_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two rarest words of each text."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     df = d.groupBy("term").agg(F.count("*").alias("df"))
     w = Window.partitionBy("doc_id").orderBy("df", "term")
     return d.join(df, "term").withColumn("place", F.row_number().over(w)).where("place <= 2").select("doc_id", "term", "df", "place")

@@ -117,8 +117,8 @@ def stale_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.expired_versions(v, "1995-01-01-run", F.to_date(F.lit("1995-06-15")))
 
 
-@query("WITH o AS (SELECT o_orderkey AS name, CAST(o_totalprice AS BIGINT) AS bytes, epoch_ms(o_orderdate) AS mtime FROM orders WHERE o_orderkey < 500), r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY mtime, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(bytes) OVER () AS total FROM o) SELECT name FROM r WHERE total > 60000000 AND total - before > 60000000 * 0.8")
+@query("WITH o AS (SELECT o_orderkey AS name, CAST(o_totalprice AS BIGINT) AS bytes, epoch_ms(o_orderdate) AS mtime FROM orders), r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY mtime, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(bytes) OVER () AS total FROM o) SELECT name FROM r WHERE total > 2000000000 AND total - before > 2000000000 * 0.8")
 def evicted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest files over the mark."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("name"), F.round("o_totalprice").cast("long").alias("bytes"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
-    return delta.evict(o, 60_000_000).select("name")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), F.round("o_totalprice").cast("long").alias("bytes"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
+    return delta.evict(o, 2_000_000_000).select("name")

@@ -1,4 +1,4 @@
-"""Graph queries over a weighted bipartite graph of suppliers and parts, and the nation tree."""
+"""Graph queries over a bipartite graph of suppliers and parts that only trade in large lots, and the nation tree."""
 
 from __future__ import annotations
 
@@ -9,13 +9,12 @@ from ..functions import geo
 from ..operators import graph
 from ..registry import query, table
 
-_G = """e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, min(l_quantity) AS len, CASE WHEN min(l_returnflag) = 'A' THEN 'stairs' ELSE 'walk' END AS kind, l_suppkey % 4 AS site FROM lineitem WHERE l_partkey % 40 = 0 AND l_orderkey % 6 = 0 GROUP BY ALL),
+_G = """e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, min(l_quantity) AS len, CASE WHEN min(l_returnflag) = 'A' THEN 'stairs' ELSE 'walk' END AS kind, l_suppkey % 4 AS site FROM lineitem GROUP BY l_suppkey, l_partkey HAVING min(l_quantity) >= 48),
     n AS (SELECT DISTINCT id FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e)), both_ AS (SELECT a, b, len, kind FROM e UNION ALL SELECT b, a, len, kind FROM e)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 0 and l_orderkey % 6 = 0")
-    e = rows.groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").alias("len"), F.min("l_returnflag").alias("f"))
+    e = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").alias("len"), F.min("l_returnflag").alias("f")).where("len >= 48")
     return e.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"), "len", F.when(F.col("f") == "A", "stairs").otherwise("walk").alias("kind"), (F.col("l_suppkey") % 4).alias("site"))
 
 
@@ -30,14 +29,14 @@ def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(_nodes(e), e).select("id", "degree")
 
 
-@query(f"WITH RECURSIVE {_G}, r AS (SELECT id, id AS root FROM n UNION SELECT b, root FROM r JOIN both_ ON a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {_G}, r(id, root) USING KEY (id) AS (SELECT id, id AS root FROM n UNION (SELECT b AS id, min(r.root) AS root FROM r JOIN both_ ON a = r.id JOIN recurring.r AS k ON k.id = both_.b WHERE r.root < k.root GROUP BY b)) SELECT id, min(root) AS component FROM r GROUP BY id")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest reachable id."""
     e = _edges(spark, sf_dir)
     return graph.components(_nodes(e), e)
 
 
-@query(f"WITH RECURSIVE {_G}, r AS (SELECT id, id AS root FROM n UNION SELECT b, root FROM r JOIN both_ ON a = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), g AS (SELECT substr(id, 1, 1) AS site, component, count(*) AS n FROM c GROUP BY ALL) SELECT site, component, n FROM g QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, component) = 1")
+@query(f"WITH RECURSIVE {_G}, r(id, root) USING KEY (id) AS (SELECT id, id AS root FROM n UNION (SELECT b AS id, min(r.root) AS root FROM r JOIN both_ ON a = r.id JOIN recurring.r AS k ON k.id = both_.b WHERE r.root < k.root GROUP BY b)), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), g AS (SELECT substr(id, 1, 1) AS site, component, count(*) AS n FROM c GROUP BY ALL) SELECT site, component, n FROM g QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, component) = 1")
 def largest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest component of each site."""
     e = _edges(spark, sf_dir)
@@ -87,7 +86,7 @@ def speaker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def route_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Itineraries of routes read from the event stream (spaces from types, rides from errors)."""
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     v = e.select("user_id", "event_id", F.col("event_type").alias("space"), F.when(F.col("event_type") == "error", "stairs").otherwise("walk").alias("kind"), F.floor(F.col("value") / 50).alias("floor"), (F.col("value") * 3).alias("bearing"))
     return graph.itinerary(v, ["user_id"], "event_id").select("user_id", "run", "kind", "merged", "instruction")
 

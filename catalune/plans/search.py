@@ -197,11 +197,10 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(retrieve.search(parts, fixed or "smlal widgte", PART_WEIGHTS, post=post).select("objectID", "title", "score"))
 
 
-@query("SELECT doc_id AS objectID, strip_accents(lower(split_part(text, chr(10), 1))) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id AS objectID, strip_accents(lower(split_part(text, chr(10), 1))) AS folded FROM documents")
 def folded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower case without diacritics."""
-    d = document_objects(spark, sf_dir).where(F.col("site").isin("fr", "es"))
-    return d.select("objectID", tx.fold_diacritics("title").alias("folded"))
+    return document_objects(spark, sf_dir).select("objectID", tx.fold_diacritics("title").alias("folded"))
 
 
 @query(
