@@ -2,8 +2,9 @@
 
 A line's tokens are its distinct space-separated words in lower case. A line
 is removed if an earlier line has a Jaccard similarity of at least
-``NUM / DEN`` with it; earlier means smaller (doc_id, row hash, line number),
-null ids first. Lines of fewer than ``MIN_TOKENS`` distinct tokens are kept
+``NUM / DEN`` with it; earlier means smaller (doc_id, line number), null ids
+first, and for equal places, which take rows that share an id, smaller hash of
+the line. Lines of fewer than ``MIN_TOKENS`` distinct tokens are kept
 and match nothing.
 
 1. Tokens are ordered by rarity. The corpus counts of all tokens are summed in
@@ -16,10 +17,6 @@ and match nothing.
    positional bound on the overlap and a parity signature (a lower bound on
    the symmetric difference) are join conditions. Lines of equal text (up to
    case) are one class and meet others once.
-   A token of more than ``GROUP`` lines is usually that of a passage with many
-   near copies, whose pairs grow with the square of their number: there, each
-   line first meets the group's earliest line only. Those that this confirms
-   need no other partner; the others meet all lines of the group.
 3. Candidates are verified on the words themselves, each class first against
    the earliest candidate, and against the others if that fails. A class's
    first line goes if a similar class begins earlier; all other lines of a
@@ -35,7 +32,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -43,7 +40,6 @@ from .common import written
 NUM, DEN = 4, 5
 MIN_TOKENS = 5
 BUCKETS = 1 << 18
-GROUP = 200
 _FIRST = -(1 << 63)
 
 
@@ -75,65 +71,40 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
-    """(token, key, n, at, sig, d): a row for each prefix token of each line; d is the document's id, null ids first."""
+    """(token, key, n, at, sig, d, line): a row for each prefix token of each line; d is the document's id, null ids first."""
 
     def ranked(h: Column) -> Column:
         byte = F.substring(F.lit(ranks), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
         return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    lines = _lines(docs, min_tokens).select("key", d.alias("d"), F.sort_array(F.transform(_tokens(F.col("words")), lambda w: ranked(F.xxhash64(w)))).alias("set"))
+    lines = _lines(docs, min_tokens).select("key", d.alias("d"), "line", F.sort_array(F.transform(_tokens(F.col("words")), lambda w: ranked(F.xxhash64(w)))).alias("set"))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     sig = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-    lines = lines.select("key", "d", F.size("set").alias("n"), sig.alias("sig"), "set")
+    lines = lines.select("key", "d", "line", F.size("set").alias("n"), sig.alias("sig"), "set")
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = lines.select("key", "d", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
-    return out.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"), "key", "n", "at", "sig", "d")
+    out = lines.select("key", "d", "line", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
+    return out.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"), "key", "n", "at", "sig", "d", "line")
 
 
-def _may_match(a: str, b: str, num: int, den: int) -> Column:
-    """Length, positional and signature filters on rows (n, at, sig) under the prefixes a and b."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = _ceil((na + nb) * num, num + den)
-    return (
-        (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-        & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= na + nb - 2 * need)
-        & (F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at")) >= need)
-    )
-
-
-_PAIR = ["ka", "kb"]
-
-
-def candidates(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(ka, kb) pairs of classes in groups of at most ``group`` lines that pass the filters, and the rows of larger groups."""
-    # dealt by token once: the grouping, the window and both sides of the join use it
+def candidates(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
+    """(early, late, d, line) pairs of classes that pass the filters, with the early one's place."""
+    # dealt by token once: the grouping and both sides of the join use it
     dealt = prefixes(docs, ranks, num, den, min_tokens).repartition("token")
-    held = dealt.groupBy("token", "key").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.first("sig").alias("sig"), F.min("d").alias("d"))
-    sized = held.withColumn("size", F.count("*").over(Window.partitionBy("token")))
-    small = sized.where(F.col("size") <= group)
-    a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _may_match("a", "b", num, den))
-    pairs = pairs.select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
-    large = sized.where(F.col("size") > group).select(F.lit(None).cast("long").alias("ka"), F.lit(None).cast("long").alias("kb"), "token", "key", "n", "at", "sig", "d")
-    both = written(docs.sparkSession, pairs.unionByName(large, allowMissingColumns=True), "line-candidates")
-    return both.where("ka is not null").select(_PAIR), both.where("ka is null").drop(*_PAIR)
-
-
-def leader_pairs(large: DataFrame, num: int, den: int) -> DataFrame:
-    """(ka, kb): each line of a large group with the group's earliest."""
-    w = Window.partitionBy("token").orderBy("d", "key")
-    row = large.select("token", "key", "d", F.struct("key", "n", "at", "sig").alias("b"))
-    led = row.withColumn("a", F.first("b").over(w)).where(F.col("a.key") != F.col("b.key")).where(_may_match("a", "b", num, den))
-    return led.select(F.least("a.key", "b.key").alias("ka"), F.greatest("a.key", "b.key").alias("kb")).distinct()
-
-
-def group_pairs(large: DataFrame, confirmed: DataFrame, num: int, den: int) -> DataFrame:
-    """(ka, kb): lines of large groups that are not confirmed yet, with all lines of their groups in no later document."""
-    open_ = large.join(confirmed.select(F.col("late").alias("key")), "key", "left_anti")
-    a, b = large.alias("a"), open_.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.d") <= F.col("b.d")) & (F.col("a.key") != F.col("b.key")) & _may_match("a", "b", num, den))
-    return met.select(F.least("a.key", "b.key").alias("ka"), F.greatest("a.key", "b.key").alias("kb")).distinct()
+    held = dealt.groupBy("token", "key").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.first("sig").alias("sig"), F.min(F.struct("d", "line")).alias("f"))
+    held = held.select("token", "key", "n", "at", "sig", F.col("f.d").alias("d"), F.col("f.line").alias("line"))
+    a, b = held.alias("a"), held.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    need = _ceil((na + nb) * num, num + den)
+    before = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & ((F.col("a.line") < F.col("b.line")) | ((F.col("a.line") == F.col("b.line")) & (F.col("a.key") < F.col("b.key")))))
+    return a.join(
+        b,
+        (F.col("a.token") == F.col("b.token"))
+        & before
+        & (F.least(na, nb) * den >= F.greatest(na, nb) * num)
+        & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need)
+        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need),
+    ).select(F.col("a.key").alias("early"), F.col("b.key").alias("late"), F.col("a.d").alias("d"), F.col("a.line").alias("line")).distinct()
 
 
 def _later(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -146,55 +117,37 @@ def _later(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(common * (num + den) >= (F.size("we") + F.size("wl")) * num).select("late").distinct()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, words) of the classes of ``wanted`` (key, first), read from the line that stands for each."""
-    spots = wanted.groupBy(F.col("first.row").alias("row"), F.col("first.doc_id").alias("owner")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("spots"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    j = spots.join(texts, (spots["row"] == texts["row"]) & spots["owner"].eqNullSafe(texts["doc_id"])).select(F.split("text", "\n").alias("parts"), F.explode("spots").alias("spot"))
-    return j.select(F.col("spot.key").alias("key"), F.element_at("parts", F.col("spot.line") + 1).alias("words")).dropDuplicates(["key"])
-
-
-def _confirm(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
-    """(late): classes with a verified earlier partner among ``pairs``."""
-    spark = docs.sparkSession
-    of = firsts.select("key", "first")
-    met = pairs.join(of.select(F.col("key").alias("ka"), F.col("first").alias("fa")), "ka").join(of.select(F.col("key").alias("kb"), F.col("first").alias("fb")), "kb")
-    ahead = F.col("fa") < F.col("fb")
-    met = met.select(*(F.when(ahead, F.col(x + "a")).otherwise(F.col(x + "b")).alias(y) for x, y in (("k", "early"), ("f", "before"))), F.when(ahead, F.col("kb")).otherwise(F.col("ka")).alias("late"))
-    met = written(spark, met, "line-met")
-    keys = met.select(F.col("early").alias("key")).union(met.select(F.col("late").alias("key"))).distinct()
-    words = written(spark, _texts(docs, keys.join(of, "key")), "line-words")
-    nearest = met.groupBy("late").agg(F.min_by("early", "before").alias("early"))
-    settled = written(spark, _later(nearest, words, num, den), "line-later")
-    rest = met.join(settled, "late", "left_anti").join(nearest, ["late", "early"], "left_anti").select("early", "late")
-    return written(spark, settled.union(_later(rest, words, num, den)), "line-later")
-
-
-def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS, group: int = GROUP) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(row, lines array<int>) of the rows that lose lines."""
     spark = docs.sparkSession
-    pairs, large = candidates(docs, rarity(docs), num, den, min_tokens, group)
-    place = F.struct(F.col("doc_id"), F.col("row"), F.col("line"))
-    places = written(spark, _lines(docs, min_tokens).select("key", "doc_id", "row", "line"), "line-places")
-    firsts = written(spark, places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")), "line-firsts")
-    pairs = written(spark, pairs.union(leader_pairs(large, num, den)).distinct(), "line-pairs")
-    confirmed = _confirm(docs, pairs, firsts, num, den)
-    more = written(spark, group_pairs(large, confirmed, num, den).join(pairs, _PAIR, "left_anti"), "line-pairs")
-    if more.limit(1).count():
-        confirmed = confirmed.union(_confirm(docs, more, firsts, num, den)).distinct()
-    later = confirmed.select(F.col("late").alias("key"), F.lit(True).alias("later"))
+    pairs = written(spark, candidates(docs, rarity(docs), num, den, min_tokens), "line-pairs")
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d")
+    places = written(spark, _lines(docs, min_tokens).select("key", d, "line", "row"), "line-places")
+    firsts = written(spark, places.groupBy("key").agg(F.min(F.struct("d", "line", "row")).alias("first"), F.count("*").alias("times")), "line-firsts")
+    # each class meets its earliest candidate; only what that does not confirm meets the others
+    nearest = written(spark, pairs.groupBy("late").agg(F.min_by("early", F.struct("d", "line", "early")).alias("early")), "line-nearest")
+    keys = pairs.select(F.col("early").alias("key")).union(pairs.select(F.col("late").alias("key"))).distinct()
+    spots = keys.join(firsts, "key").groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("spots"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    words = spots.join(texts, "row").select(F.split("text", "\n").alias("parts"), F.explode("spots").alias("spot"))
+    words = words.select(F.col("spot.key").alias("key"), F.element_at("parts", F.col("spot.line") + 1).alias("words")).dropDuplicates(["key"])
+    words = written(spark, words, "line-words")
+    settled = written(spark, _later(nearest.select("early", "late"), words, num, den), "line-later")
+    rest = pairs.select("early", "late").join(settled, "late", "left_anti").join(nearest, ["late", "early"], "left_anti")
+    later = settled.union(_later(rest, words, num, den)).select(F.col("late").alias("key"), F.lit(True).alias("later"))
     # only classes with something to remove travel on
     judged = firsts.join(later, "key", "left").where(F.col("later") | (F.col("times") > 1)).select("key", "first", "later")
-    gone = places.join(judged, "key").where(F.col("later") | ~place.eqNullSafe(F.col("first")))
+    same_place = (F.col("d") == F.col("first.d")) & (F.col("line") == F.col("first.line"))
+    gone = places.join(judged, "key").where(F.col("later") | ~same_place)
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS, group: int = GROUP) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the later similar lines taken out of ``text``; adds n_lines and n_removed_lines.
 
     The other columns stay; a column named n_chars is recomputed.
     """
-    gone = removed_lines(docs, num, den, min_tokens, group).withColumnRenamed("row", "__row")
+    gone = removed_lines(docs, num, den, min_tokens).withColumnRenamed("row", "__row")
     out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("lines", "__gone"), "__row", "left")
     parts = F.split("text", "\n")
     kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__gone"), s["i"]))
