@@ -142,7 +142,7 @@ def repeated(group: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def equal_classes(chars: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
-    """Class numbers of the rows of ``chars`` (rows, length) within their groups; -1 for rows alone in their class.
+    """Class numbers of the rows of ``chars`` (rows, length) within their groups; rows alone may get -1 instead of a class.
 
     Deep-shallow sorting: refinement by 8-byte characters to ``shallow`` bytes,
     then blind tries on the tied rest.

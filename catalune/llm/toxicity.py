@@ -72,10 +72,11 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Token scores from document counts per bucket."""
     total = toxic + clean
-    prior = PRIOR * total / max(total.sum(), 1)
+    size = min(PRIOR, total.sum() / 10)  # weak beside the counts of a small sample
+    prior = size * total / max(total.sum(), 1)
     a, b = toxic + prior, clean + prior
     with np.errstate(divide="ignore", invalid="ignore"):
-        delta = np.log(a / (toxic.sum() + PRIOR - a)) - np.log(b / (clean.sum() + PRIOR - b))
+        delta = np.log(a / (toxic.sum() + size - a)) - np.log(b / (clean.sum() + size - b))
         sd = np.sqrt(1 / a + 1 / b)
     score = np.where(delta > 0, np.maximum(delta - BOUND * sd, -0.0), delta) - DRIFT
     return np.where(total > 0, np.clip(score, FLOOR, None), -DRIFT)
