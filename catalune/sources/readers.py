@@ -64,7 +64,7 @@ def _in_language(values: Column, lang: str) -> Column:
 
 def field_value(html: Column, label: str) -> Column:
     """The value cell that follows a label cell, as plain text."""
-    return tx.strip_markup(F.regexp_extract(html, rf"(?is)>\s*{label}\s*:?\s*</[^>]+>\s*<[^>]+>(.*?)</", 1))
+    return tx.strip_markup(F.regexp_extract(html, rf"(?is)>\s*{label}\s*:?\s*</[^>]+>\s*<(\w+)[^>]*>(.*?)</\1>", 2))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
