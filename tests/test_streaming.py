@@ -8,8 +8,12 @@ from catalune.streaming import processors
 
 def stream(spark, df, path, name, make):
     df.coalesce(1).write.parquet(path)
-    q = make(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    # one batch: with a processing-time timeout, other triggers go on forever
+    q = make(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("append").trigger(once=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
     return spark.table(name)
 
 
