@@ -132,3 +132,22 @@ def evict(files: DataFrame, cap: int, share: float = 0.8) -> DataFrame:
         return files.limit(0)
     before = F.coalesce(F.sum("bytes").over(Window.orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("_before", before).where(F.lit(total) - F.col("_before") > cap * share).drop("_before")
+
+
+def isolated(loaders: dict, previous: DataFrame, by: str = "source") -> tuple[DataFrame, dict[str, str]]:
+    """Fresh rows of every source that loads, the previous rows of those that fail, and the status of each.
+
+    A loader is a call that returns a DataFrame with the columns of ``previous``; its first row is read, so
+    that a source that cannot be read fails here and alone.
+    """
+    out, status = None, {}
+    for name, load in loaders.items():
+        try:
+            rows = load().select(previous.columns)
+            rows.limit(1).count()
+            status[name] = "fresh"
+        except Exception as e:  # any failure of one source must not stop the others
+            rows = previous.where(F.col(by) == name)
+            status[name] = f"stale: {type(e).__name__}"
+        out = rows if out is None else out.unionByName(rows)
+    return (previous.limit(0) if out is None else out), status

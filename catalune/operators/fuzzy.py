@@ -130,3 +130,14 @@ def title_match(a: Column, b: Column) -> Column:
     words = F.filter(F.array_distinct(tx.tokens(a)), lambda t: F.length(t) > 2)
     common = F.size(F.array_intersect(words, tx.tokens(b)))
     return x.contains(y) | y.contains(x) | ((F.size(words) > 0) & (common * 2 >= F.size(words)))
+
+
+def literal_echo(term: Column, suggestion: Column) -> Column:
+    """Whether a suggested synonym only repeats the term, or the term it."""
+    a, b = tx.normalize(term), tx.normalize(suggestion)
+    return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
+
+
+def gibberish(c: Column) -> Column:
+    """Whether some word has five consonants in a row."""
+    return tx.normalize(c).rlike("[bcdfghjklmnpqrstvwxz]{5}")

@@ -248,3 +248,41 @@ def cluster_doors(doors: DataFrame, by: list[str], distance: float = 3.0) -> Dat
 
     kinds = ", ".join(f"{c} {doors.schema[c].dataType.simpleString()}" for c in by)
     return doors.groupBy(*by).applyInPandas(cluster, f"{kinds}, cluster int, x double, y double, members int")
+
+
+def resolve_endpoints(refs: DataFrame, galleries: DataFrame, amenities: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(ref, node, via): a reference as a gallery, else an amenity, else a node id, else a legacy alias.
+
+    galleries (gallery, node), amenities (amenity, node), nodes (id), aliases (alias, node); keys are unique.
+    """
+    out = refs.join(galleries.select(F.col("gallery").alias("ref"), F.col("node").alias("_g")), "ref", "left")
+    out = out.join(amenities.select(F.col("amenity").alias("ref"), F.col("node").alias("_a")), "ref", "left")
+    out = out.join(nodes.select(F.col("id").alias("ref"), F.col("id").alias("_n")), "ref", "left")
+    out = out.join(aliases.select(F.col("alias").alias("ref"), F.col("node").alias("_l")), "ref", "left")
+    via = F.when(F.col("_g").isNotNull(), "gallery").when(F.col("_a").isNotNull(), "amenity").when(F.col("_n").isNotNull(), "node").when(F.col("_l").isNotNull(), "alias")
+    return out.select("ref", F.coalesce("_g", "_a", "_n", "_l").alias("node"), via.alias("via"))
+
+
+def add_steps(edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """Edges and those steps (a, b, len, same_floor) that join a pair not joined yet; each unordered pair once, walks on one floor."""
+    pair = lambda df: df.withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")})
+    own = pair(edges).select("_x", "_y").distinct()
+    new = pair(steps).where("a <> b").groupBy("_x", "_y").agg(F.min("len").alias("len"), F.max("same_floor").alias("same_floor"))
+    new = new.join(own, ["_x", "_y"], "left_anti").select(F.col("_x").alias("a"), F.col("_y").alias("b"), "len", F.when(F.col("same_floor"), "walk").otherwise("stairs").alias("kind"))
+    return edges.select("a", "b", "len", "kind").unionByName(new)
+
+
+def match_names(rooms: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, code, via): a room's explicit code if the index has it, else the one code that its name variants lead to.
+
+    rooms: (id, code, variants array<string>); index: (code, name, tier). The lowest tier with exactly one code
+    decides; a tier with several codes decides nothing and closes the search.
+    """
+    codes = index.select(F.col("code").alias("_c")).distinct()
+    out = rooms.join(codes, F.col("code") == F.col("_c"), "left")
+    named = rooms.select("id", F.explode("variants").alias("name")).distinct().join(index.withColumnRenamed("code", "_n"), "name")
+    tiers = named.groupBy("id", "tier").agg(F.count_distinct("_n").alias("n"), F.min("_n").alias("_n"))
+    best = tiers.groupBy("id").agg(F.min_by(F.when(F.col("n") == 1, F.col("_n")), "tier").alias("_n"))
+    out = out.join(best, "id", "left")
+    via = F.when(F.col("_c").isNotNull(), "code").when(F.col("_n").isNotNull(), "name")
+    return out.select("id", F.coalesce("_c", "_n").alias("code"), via.alias("via"))

@@ -122,3 +122,14 @@ def evicted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest files over the mark."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), F.round("o_totalprice").cast("long").alias("bytes"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
     return delta.evict(o, 2_000_000_000).select("name")
+
+
+@query("SELECT 'a' AS source, p_partkey AS id FROM part WHERE p_size <= 20 UNION ALL SELECT 'b', p_partkey FROM part WHERE p_size > 20")
+def isolated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source fails and keeps its previous rows, the other is fresh."""
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_size") <= 20, "a").otherwise("b").alias("source"), F.col("p_partkey").alias("id"))
+
+    def broken() -> DataFrame:
+        raise OSError("the source does not answer")
+
+    return delta.isolated({"a": lambda: p.where("source = 'a'"), "b": broken}, p)[0]

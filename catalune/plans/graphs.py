@@ -168,3 +168,36 @@ def landmark_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walked lengths within sane bounds of straight ones."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair"), (F.col("o_totalprice") / 1000).alias("walked"), (F.col("o_custkey") / 5.0).alias("straight"))
     return o.withColumn("sane", F.col("walked").between(0.95 * F.col("straight"), F.greatest(3.5 * F.col("straight"), F.col("straight") + 150)))
+
+
+@query("WITH r AS (SELECT 'x' || o_custkey % 40 AS ref, o_orderkey AS k FROM orders UNION ALL SELECT CAST(o_custkey % 40 AS VARCHAR), o_orderkey + 1000000 FROM orders) SELECT k, ref, CASE WHEN ref LIKE 'x%' THEN CASE WHEN CAST(substr(ref, 2) AS INT) < 5 THEN 'g' || substr(ref, 2) WHEN CAST(substr(ref, 2) AS INT) < 10 THEN 'a' || substr(ref, 2) WHEN CAST(substr(ref, 2) AS INT) BETWEEN 30 AND 34 THEN 'l' || substr(ref, 2) END WHEN CAST(ref AS INT) < 25 THEN ref END AS node FROM r")
+def resolved_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints as gallery, amenity, node or alias."""
+    o = table(spark, sf_dir, "orders")
+    n = (F.col("o_custkey") % 40).cast("string")
+    refs = o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("x"), n).alias("ref")).unionByName(o.select((F.col("o_orderkey") + 1_000_000).alias("k"), n.alias("ref")))
+    ids = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_nationkey").cast("string").alias("id"))
+    named = lambda df, key, mark: df.select(F.concat(F.lit("x"), "id").alias(key), F.concat(F.lit(mark), "id").alias("node"))
+    late = ids.where("i < 5").select((F.col("i") + 30).cast("string").alias("id"))
+    return graph.resolve_endpoints(refs.select("ref").distinct(), named(ids.where("i < 5"), "gallery", "g"), named(ids.where("i < 10"), "amenity", "a"), ids, named(late, "alias", "l")).join(refs, "ref").select("k", "ref", "node")
+
+
+@query("WITH e AS (SELECT l_suppkey AS a, l_partkey AS b, min(l_quantity) AS len FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), s AS (SELECT least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) AS y, min(l_tax) AS len, bool_or(l_linestatus = 'O') AS f FROM lineitem WHERE l_returnflag = 'A' AND l_partkey <> l_suppkey GROUP BY ALL) SELECT a, b, len, 'walk' AS kind FROM e UNION ALL SELECT x, y, len, CASE WHEN f THEN 'walk' ELSE 'stairs' END FROM s WHERE (x, y) NOT IN (SELECT (least(a, b), greatest(a, b)) FROM e)")
+def step_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps for pairs that no edge joins."""
+    rows = table(spark, sf_dir, "lineitem")
+    e = rows.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.min("l_quantity").alias("len")).withColumn("kind", F.lit("walk"))
+    s = rows.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_tax").alias("len"), (F.col("l_linestatus") == "O").alias("same_floor"))
+    return graph.add_steps(e, s)
+
+
+@query("WITH r AS (SELECT c_custkey AS id, 'c' || c_custkey % 30 AS code, [c_mktsegment, 'n' || c_custkey % 50] AS v FROM customer), i AS (SELECT 'c' || n_nationkey AS code, 'n' || n_nationkey // 2 * 2 AS name, CASE WHEN n_nationkey < 10 THEN 0 ELSE 1 END AS tier FROM nation UNION ALL SELECT 'c' || n_nationkey, 'n' || n_nationkey + 25, 0 FROM nation), n AS (SELECT id, tier, count(DISTINCT i.code) AS k, min(i.code) AS c FROM (SELECT DISTINCT id, unnest(v) AS name FROM r) JOIN i USING (name) GROUP BY ALL), b AS (SELECT id, arg_min(CASE WHEN k = 1 THEN c ELSE '' END, tier) AS c FROM n GROUP BY id) SELECT r.id, CASE WHEN r.code IN (SELECT code FROM i) THEN r.code ELSE nullif(b.c, '') END AS code, CASE WHEN r.code IN (SELECT code FROM i) THEN 'code' WHEN nullif(b.c, '') IS NOT NULL THEN 'name' END AS via FROM r LEFT JOIN b USING (id)")
+def matched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms matched by code, else by an unambiguous name."""
+    k = F.col("c_custkey")
+    tag = lambda mark, n: F.concat(F.lit(mark), n.cast("string"))
+    rooms = table(spark, sf_dir, "customer").select(k.alias("id"), tag("c", k % 30).alias("code"), F.array(F.col("c_mktsegment"), tag("n", k % 50)).alias("variants"))
+    n = table(spark, sf_dir, "nation").withColumn("n", F.col("n_nationkey"))
+    index = n.select(tag("c", F.col("n")).alias("code"), tag("n", (F.floor(F.col("n") / 2) * 2)).alias("name"), F.when(F.col("n") < 10, 0).otherwise(1).alias("tier"))
+    index = index.unionByName(n.select(tag("c", F.col("n")).alias("code"), tag("n", F.col("n") + 25).alias("name"), F.lit(0).alias("tier")))
+    return graph.match_names(rooms, index)

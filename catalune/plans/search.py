@@ -215,3 +215,10 @@ def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = p.alias("a"), p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_partkey").alias("bk"), F.col("p_name").alias("bn")).alias("b")
     j = a.join(b, F.col("a.p_partkey") == F.col("b.k"))
     return j.select(F.col("p_partkey").alias("a"), F.col("bk").alias("b"), F.round(fuzzy.edit_similarity(F.col("p_name"), F.col("bn")), 6).alias("similarity"), fuzzy.title_match(F.col("p_name"), F.col("bn")).alias("titles_match"))
+
+
+@query("WITH n AS (SELECT doc_id AS id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t, lang FROM documents) SELECT id, t <> '' AND (contains(t, lang) OR contains(lang, t)) AS echo, regexp_matches(t, '[bcdfghjklmnpqrstvwxz]{5}') AS gibberish FROM n")
+def suggestion_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Echoes of a term and gibberish."""
+    d = document_objects(spark, sf_dir)
+    return d.select(F.col("objectID").alias("id"), fuzzy.literal_echo(F.col("site"), F.col("title")).alias("echo"), fuzzy.gibberish(F.col("title")).alias("gibberish"))
