@@ -48,7 +48,7 @@ LENGTH = 100
 GRAM = 32
 SHALLOW = 32
 HOT = 200_000
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 SORT_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 _TOP = np.uint64(~((1 << 24) - 1) & 0xFFFFFFFFFFFFFFFF)
