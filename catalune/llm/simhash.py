@@ -16,7 +16,8 @@ Null and blank texts have no words and fingerprint zero, which links like any
 other. Fewer words than a shingle make one shingle. Repeated rows have equal
 fingerprints and share a component. Rows with a null id are fingerprinted and
 take part in linking, but a component id is the smallest non-null id. Extra
-columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``,
+which links by the shingles themselves (see ``shinglejoin``).
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shinglejoin
 from . import textblock as tb
 from .common import written
 from .components import components
 
 RADIUS = 2
-DROP_RADIUS = 6  # of 64 bits: a cosine of about 0.95 of the shingle vectors, a Jaccard similarity of about 0.9
+NUM, DEN = 4, 5  # least Jaccard similarity of near copies in drop_near_duplicates
 TILE = 4096
 NEAR = 32  # shifts compared directly before whole tiles are
 _LANES = np.uint64(0x0101010101010101)
@@ -220,15 +222,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, tile:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = DROP_RADIUS, tile: int = TILE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one row of each group: the one of smallest id (null ids last), then of smallest text hash.
 
-    Equal rows are copies of each other and one stays.
+    Groups are linked by a Jaccard similarity of ``num / den`` or more of the
+    shingle sets, found exactly by ``shinglejoin`` rather than by fingerprints,
+    whose distance tells too little about it. Equal rows are copies of each
+    other and one stays.
     """
+    spark = docs.sparkSession
     own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    prints = written(docs.sparkSession, fingerprints(own, words, keep="row"), "simhash")
+    prints = written(spark, shinglejoin.prefixes(own, words, num, den), "shingles")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    first = prints.groupBy("fp").agg(F.min(rank).alias("first")).join(_classes(prints, radius, tile), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.row").alias("__row"))
+    firsts = written(spark, prints.groupBy("key").agg(F.min(rank).alias("first")), "shingle-firsts")
+    roots = shinglejoin.classes(own, prints, firsts.select("key", F.col("first.row").alias("row")), words, num, den).withColumnRenamed("node", "key")
+    kept = firsts.join(roots, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(kept, "__row", "left_semi")
     return out.dropDuplicates(["__row"]).drop("__row")
