@@ -1,11 +1,12 @@
 """Line dedup: exact set-similarity join of lines, on DataFrame operators only.
 
-A line's tokens are its distinct space-separated words in lower case. A line
-is removed if an earlier line has a Jaccard similarity of at least
+A line's tokens are its distinct words in lower case, separated by any white
+space. A line is removed if an earlier line has a Jaccard similarity of at least
 ``NUM / DEN`` with it; earlier means smaller (doc_id, line number), null ids
 first, and for equal places, which take rows that share an id, smaller hash of
-the line. Lines of fewer than ``MIN_TOKENS`` distinct tokens are kept
-and match nothing.
+the line. Lines of fewer than ``min_tokens`` distinct tokens are kept
+and match nothing: with 1, as the query and the pipeline have it, these are
+blank lines only.
 
 1. Tokens are ordered by rarity. The corpus counts of all tokens are summed in
    ``BUCKETS`` hash buckets; a token's rank is its bucket's count on a
@@ -41,10 +42,12 @@ NUM, DEN = 4, 5
 MIN_TOKENS = 5
 BUCKETS = 1 << 18
 _FIRST = -(1 << 63)
+#: what Python's str.split() parts words at
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), SPACE)), "")
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -53,7 +56,7 @@ def _ceil(a: Column, b: int) -> Column:
 
 def rarity(docs: DataFrame) -> bytearray:
     """The log-scale count of each bucket, from 1 (least) to 127."""
-    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     table = bytearray(b"\1") * BUCKETS
     got = counts.toArrow()  # at most BUCKETS rows
@@ -66,7 +69,7 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """(doc_id, row, line, key, words) of the lines that take part; key is the class."""
     lines = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # most lines show enough different words at once; only the others are looked at in full
-    soon = F.size(F.array_remove(F.array_distinct(F.slice(F.split(F.lower("words"), " "), 1, 4 * min_tokens)), "")) >= min_tokens
+    soon = F.size(F.array_remove(F.array_distinct(F.slice(F.split(F.lower("words"), SPACE), 1, 4 * min_tokens)), "")) >= min_tokens
     return lines.where(soon | (F.size(_tokens(F.col("words"))) >= min_tokens)).withColumn("key", F.xxhash64(F.lower("words")))
 
 

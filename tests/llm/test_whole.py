@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as C
+from catalune.llm import queries as Q
 from catalune.llm import simhash
 
 
@@ -46,3 +47,25 @@ def test_near_copies_from_similarity_on(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in C.drop_near_copies(spark, df, "").collect()} == want
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df.union(df)).collect()) == sorted(want)
+
+
+def test_line_dedup_of_every_line(spark, tmp_path):
+    rng = random.Random(6)
+    spaces = [" ", "\t", "\u00a0", "  ", "\u3000"]
+    lines = [rng.choice(spaces).join(f"t{rng.randrange(30)}" for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    lines += ["All rights reserved.", "長い文に空白はない", "", " ", "a\u00a0b\tc d e f", "x"]
+    rows = [(d, "\n".join(rng.choice(lines) if rng.random() < 0.8 else f"Own {d} {k}" for k in range(6))) for d in range(25)]
+    seen, want = [], {}
+    for d, t in rows:
+        gone = 0
+        for x in t.split("\n"):
+            s = set(x.lower().split())
+            if s:
+                gone += any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
+                seen.append(s)
+        want[d] = gone
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed_lines for r in Q.op8_line_dedup(spark, str(tmp_path)).collect()} == want
+    staged = {r.doc_id: r.text for r in C.drop_repeated_lines(spark, df, "").collect()}
+    assert all(len(staged[d].split("\n")) == max(1, len(t.split("\n")) - want[d]) for d, t in rows)
