@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,14 @@ def ensure_checkpoint_dir(df: DataFrame) -> None:
         sc.setCheckpointDir(named or "/tmp/catalune-checkpoints")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: unlike a checkpoint it carries no constraints on, which double from round to round."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Every edge in both directions."""
     cols = [c for c in edges.columns if c not in ("a", "b")]
@@ -162,27 +171,28 @@ def nearby_pairs(points: DataFrame, keys: list[str], distance: float, same: bool
     return j.withColumn("d", d).where(F.col("d") <= distance).select("a", "b", *keys, "d")
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float) -> DataFrame:
-    """(a, b, len): for each stray component the shortest link to its site's main component, if within ``distance``."""
-    lab = components(nodes, edges).join(nodes.select("id", "x", "y", *by), "id")
-    top = main_components(lab, by).select(*by, F.col("component").alias("_main"))
-    lab = lab.join(top, by)
-    close = nearby_pairs(lab, by, distance, same=False)
-    side = lab.select("id", "component", (F.col("component") == F.col("_main")).alias("in_main"))
-    j = close.join(side.select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("in_main").alias("ma")), "a").join(side.select(F.col("id").alias("b"), F.col("in_main").alias("mb")), "b")
-    best = j.where(~F.col("ma") & F.col("mb")).groupBy("ca").agg(F.min(F.struct(F.col("d"), F.col("a"), F.col("b"))).alias("m"))
-    return best.select("m.a", "m.b", F.col("m.d").alias("len"))
+def repair(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float, passes: int = 200) -> DataFrame:
+    """Edges with bridges added, pass after pass until none is found (the reference stops after 3 passes or after 200, by site).
 
-
-def repair(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float, passes: int = 3) -> DataFrame:
-    """Edges with bridges added, pass after pass until none is found; labels hold within a pass."""
+    In a pass each node outside its site's main component gets the shortest link
+    to a node of it within ``distance``; ties go to the smaller id. Labels hold
+    within a pass. Pairs and components are found once; then only components merge.
+    """
     ensure_checkpoint_dir(nodes)
+    lab = _cut(components(nodes, edges).join(nodes.select("id", *by), "id"))
+    close = _cut(nearby_pairs(nodes.select("id", "x", "y", *by), by, distance, same=False).select("a", "b", "d"))
     out = edges
     for _ in range(passes):
-        new = bridges(nodes, out, by, distance).withColumn("kind", F.lit("bridge")).checkpoint()
+        main = main_components(lab, by).select(*by, F.col("component").alias("_main"))
+        side = lab.join(main, by).select("id", "component", (F.col("component") == F.col("_main")).alias("in_main"))
+        j = close.join(side.where("not in_main").select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(side.where("in_main").select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+        new = _cut(j.groupBy("a").agg(F.min(F.struct("d", "b", "ca", "cb")).alias("m")).select("a", "m.b", F.col("m.d").alias("len"), "m.ca", "m.cb"))
         if not new.limit(1).count():
             break
-        out = out.unionByName(new, allowMissingColumns=True).checkpoint()
+        out = out.unionByName(new.select("a", "b", "len", F.lit("bridge").alias("kind")), allowMissingColumns=True)
+        ends = new.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        merged = components(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct(), ends)
+        lab = _cut(lab.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"), *by))
     return out
 
 

@@ -109,7 +109,7 @@ def _plane(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def repaired_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strays bridged to the main component of their site, pass by pass."""
     nodes, edges = _plane(spark, sf_dir)
-    return graph.repair(nodes, edges, ["site"], 2.0, passes=2).select("a", "b", "kind")
+    return graph.repair(nodes, edges, ["site"], 2.0).select("a", "b", "kind")
 
 
 @query("WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_suppkey % 2 AS site FROM supplier), e AS (SELECT id AS a, id + 2 AS b FROM n WHERE id % 10 IN (0, 1, 4, 5) AND id + 2 IN (SELECT id FROM n)), bo AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT id, id AS root FROM n UNION SELECT b, root FROM r JOIN bo ON a = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), k AS (SELECT site, component, count(*) AS k FROM c JOIN n USING (id) GROUP BY ALL), g AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY site ORDER BY k DESC, component) = 1) SELECT id FROM c JOIN n USING (id) JOIN g USING (site, component)")
