@@ -16,37 +16,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    local = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if local.isDefined():
-        return local.get()
+    """The shared folder of the cluster; a local one only where none is named and all runs on one machine (tests)."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    known = context._jsc.sc().getCheckpointDir()
+    if named or known.isDefined():
+        if not known.isDefined():
+            context.setCheckpointDir(named)
+        return named or known.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = os.path.join(tempfile.gettempdir(), "catalune-checkpoints")
-    spark.sparkContext.setCheckpointDir(made)
+    context.setCheckpointDir(made)
     return made
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+def _release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished plans.
 
-    The shuffle files of what led to the table are of no more use. Spark drops
-    them once the driver's JVM has collected the objects that refer to them, so
-    a collection is asked for; otherwise the disks hold the shuffles of every
-    finished step at once.
+    It does so once the driver's JVM has collected the objects that refer to
+    them, so a collection is asked for; otherwise the disks hold the shuffles
+    of every finished step at once.
     """
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    path, schema = _path(spark, name), df.schema
+    df.write.parquet(path)
+    del df
+    _release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: joins by it do not move the table again."""
+    spark = df.sparkSession
+    path = _path(spark, name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(made)
+    del df
+    _release(spark)
+    return spark.table(made)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` or ``bucketed`` made and that no plan will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            made = folder.rsplit("/", 1)[1].replace("-", "_")
+            if spark.catalog.tableExists(made):
+                spark.sql(f"DROP TABLE {made}")
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text is a multiple of 5; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -2,162 +2,178 @@
 
 A line's tokens are its distinct words in lower case, separated by any white
 space. A line is removed if an earlier line has a Jaccard similarity of at least
-``NUM / DEN`` with it; earlier means smaller (doc_id, line number), null ids
-first, and for equal places, which take rows that share an id, smaller hash of
-the line. Lines of fewer than ``min_tokens`` distinct tokens are kept
-and match nothing: with 1, as the query and the pipeline have it, these are
-blank lines only.
-
-1. Tokens are ordered by rarity. The corpus counts of all tokens are summed in
-   ``BUCKETS`` hash buckets; a token's rank is its bucket's count on a
-   logarithmic scale, one byte a bucket, then its hash. Tokens rarer than
-   about one in ``BUCKETS`` are ordered by hash among themselves; any fixed
+``num / den`` with it, whether that one stays or not; earlier means smaller
+(doc_id, line number), null ids first, and for rows that share an id, smaller
+hash of the row. Every line with a token takes part; blank lines stay.
+
+1. Lines of equal text up to case are one class, with its earliest place. The
+   classes and their token sets are a table bucketed by class, so later joins
+   by class move the small side only.
+2. Tokens are ordered by rarity: the number of classes with a token, summed in
+   ``BUCKETS`` hash buckets, on a logarithmic scale, then by hash. Any fixed
    order keeps the join exact.
-2. Prefix filter: similar lines share a token among their first
-   n - ceil(t n) + 1. Lines meet by prefix token; a length filter, the
-   positional bound on the overlap and a parity signature (a lower bound on
-   the symmetric difference) are join conditions. Lines of equal text (up to
-   case) are one class and meet others once.
-3. Candidates are verified on the words themselves, each class first against
-   the earliest candidate, and against the others if that fails. A class's
-   first line goes if a similar class begins earlier; all other lines of a
-   class go.
+3. Heads. A band is two of the ``SKETCH`` tokens of least hash among the less
+   frequent ones. Each class is verified against the earliest class of each of
+   its bands. That is linear, and settles the members of large groups of near
+   copies: they need not meet each other.
+4. Prefix filter: similar lines share a token among their first
+   n - ceil(t n) + 1. Unsettled classes meet all classes by prefix token; two
+   settled ones never meet. A length filter, the positional bound on the
+   overlap and a parity signature (a lower bound on the symmetric difference)
+   are join conditions. What passes is verified on the whole sets.
+5. A class's first line goes if a similar class begins earlier; all its other
+   lines go.
 
 Rows with the same id and text are one document here: their lines do not
 remove each other, and all get the same result. Null texts have no lines;
-empty tables give empty results. Token and class identity in the join is by
-64-bit hash; verification is on text.
+empty tables give empty results. Columns of any name and ids of any type may
+be there; n_lines and n_removed_lines are replaced. Identity of tokens and
+classes is by 64-bit hash.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bucketed, discard, written
 
 NUM, DEN = 4, 5
-MIN_TOKENS = 5
-BUCKETS = 1 << 18
-_FIRST = -(1 << 63)
+BUCKETS = 1 << 19
+SKETCH = 3
 #: what Python's str.split() parts words at
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), SPACE)), "")
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + F.lit(b - 1)) / F.lit(b)).cast("int")
 
 
-def rarity(docs: DataFrame) -> bytearray:
+def _lines(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, line, words, key) of the lines that are not blank; key is the class."""
+    lines = docs.select(_row().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    return lines.where(F.col("words").rlike(f"[^{SPACE}]")).withColumn("key", F.xxhash64(F.lower("words")))
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """(key, place, times, set) of each class, bucketed by key; place: the first (doc_id, line, row)."""
+    firsts = _lines(docs).groupBy("key").agg(F.min(F.struct("doc_id", "line", "row")).alias("place"), F.count("*").alias("times"), F.first("words").alias("words"))
+    hashes = F.array_distinct(F.transform(F.split(F.lower("words"), f"[{SPACE}]"), lambda w: F.xxhash64(w)))
+    return bucketed(firsts.select("key", "place", "times", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("set")), "key", "line-classes")
+
+
+def rarity(classes: DataFrame) -> np.ndarray:
     """The log-scale count of each bucket, from 1 (least) to 127."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
-    table = bytearray(b"\1") * BUCKETS
+    counts = classes.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    table = np.ones(BUCKETS, np.uint8)
     got = counts.toArrow()  # at most BUCKETS rows
-    for bucket, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-        table[bucket] = min(127, 1 + int(4 * math.log2(n)))
+    table[got.column(0).to_numpy()] = np.minimum(127, 1 + 4 * np.log2(got.column(1).to_numpy()))
     return table
 
 
-def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc_id, row, line, key, words) of the lines that take part; key is the class."""
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    # most lines show enough different words at once; only the others are looked at in full
-    soon = F.size(F.array_remove(F.array_distinct(F.slice(F.split(F.lower("words"), SPACE), 1, 4 * min_tokens)), "")) >= min_tokens
-    return lines.where(soon | (F.size(_tokens(F.col("words"))) >= min_tokens)).withColumn("key", F.xxhash64(F.lower("words")))
-
-
-def prefixes(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
-    """(token, key, n, at, sig, d, line): a row for each prefix token of each line; d is the document's id, null ids first."""
+def _ordered(ranks: np.ndarray) -> Column:
+    """The set in order of rarity, each token as its rank above the other bits of its hash."""
+    table = F.lit(bytearray(ranks.tobytes()))
 
     def ranked(h: Column) -> Column:
-        byte = F.substring(F.lit(ranks), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
+        byte = F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
         return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    lines = _lines(docs, min_tokens).select("key", d.alias("d"), "line", F.sort_array(F.transform(_tokens(F.col("words")), lambda w: ranked(F.xxhash64(w)))).alias("set"))
+    return F.sort_array(F.transform("set", ranked))
+
+
+def head_pairs(classes: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(a, b) pairs of classes with a band in common; a is the earliest class of that band."""
+    # ranks below one token in 2^16 are level, so that the hash decides among them
+    level = int(max(1, math.log2(max(2.0, float(np.exp2(ranks / 4.0).sum()) / (1 << 16))) * 4))
+    order = _ordered(np.maximum(ranks, min(127, level)).astype(np.uint8))
+    least = classes.select("key", "place", F.size("set").alias("n"), F.slice(order, 1, SKETCH).alias("low"))
+    both = [F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
+    bands = least.select("key", "place", "n", F.explode(F.array_distinct(F.array(*both))).alias("band"))
+    heads = bands.groupBy("band").agg(F.min(F.struct("place", "key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    met = bands.select("band", "key", "n").join(heads.select("band", F.col("head.key").alias("a"), F.col("head.n").alias("m")), "band")
+    fits = F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM
+    return met.where((F.col("key") != F.col("a")) & fits).select("a", F.col("key").alias("b")).distinct()
+
+
+def prefixes(classes: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+    """(token, key, n, at, sig): a row for each prefix token of each class."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    sets = classes.select("key", _ordered(ranks).alias("set"))
     sig = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-    lines = lines.select("key", "d", "line", F.size("set").alias("n"), sig.alias("sig"), "set")
+    sets = sets.select("key", F.size("set").alias("n"), sig.alias("sig"), "set")
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = lines.select("key", "d", "line", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
-    return out.select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"), "key", "n", "at", "sig", "d", "line")
+    out = sets.select("key", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
+    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "sig")
 
 
-def candidates(docs: DataFrame, ranks: bytearray, num: int, den: int, min_tokens: int) -> DataFrame:
-    """(early, late, d, line) pairs of classes that pass the filters, with the early one's place."""
-    # dealt by token once: the grouping and both sides of the join use it
-    dealt = prefixes(docs, ranks, num, den, min_tokens).repartition("token")
-    held = dealt.groupBy("token", "key").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.first("sig").alias("sig"), F.min(F.struct("d", "line")).alias("f"))
-    held = held.select("token", "key", "n", "at", "sig", F.col("f.d").alias("d"), F.col("f.line").alias("line"))
-    a, b = held.alias("a"), held.alias("b")
+def candidates(classes: DataFrame, settled: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+    """(a, b) pairs of classes that pass the filters, at least one of them unsettled."""
+    open_ = prefixes(classes.join(settled, "key", "left_anti"), ranks, num, den)
+    shut = prefixes(classes.join(settled, "key", "left_semi"), ranks, num, den)
+    a, b, c = open_.alias("a"), open_.alias("b"), shut.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     need = _ceil((na + nb) * num, num + den)
-    before = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & ((F.col("a.line") < F.col("b.line")) | ((F.col("a.line") == F.col("b.line")) & (F.col("a.key") < F.col("b.key")))))
-    return a.join(
-        b,
+    fits = (
         (F.col("a.token") == F.col("b.token"))
-        & before
         & (F.least(na, nb) * den >= F.greatest(na, nb) * num)
         & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need)
-        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need),
-    ).select(F.col("a.key").alias("early"), F.col("b.key").alias("late"), F.col("a.d").alias("d"), F.col("a.line").alias("line")).distinct()
+        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need)
+    )
+    pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
+    return a.join(b, fits & (F.col("a.key") < F.col("b.key"))).select(pair).union(a.join(c, fits).select(pair)).distinct()
 
 
-def _later(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes confirmed to have an earlier similar class, from (early, late) pairs."""
-    early = texts.select(F.col("key").alias("early"), F.col("words").alias("we"))
-    late = texts.select(F.col("key").alias("late"), F.col("words").alias("wl"))
-    # lines travel as text and are split where they meet
-    both = pairs.join(early, "early").join(late, "late").select("late", _tokens(F.col("we")).alias("we"), _tokens(F.col("wl")).alias("wl"))
-    common = F.size(F.array_intersect("we", "wl"))
-    return both.where(common * (num + den) >= (F.size("we") + F.size("wl")) * num).select("late").distinct()
+def later(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key) of the later class of each similar pair (a, b)."""
+    spark = classes.sparkSession
+    # one class may head many pairs: its set is a table of its own, so that a large group's pairs can be split
+    heads = written(spark, classes.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.col("place").alias("pa"), F.col("set").alias("sa")), "line-heads")
+    both = pairs.join(classes.select(F.col("key").alias("b"), F.col("place").alias("pb"), F.col("set").alias("sb")), "b").join(heads, "a")
+    similar = F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.size("sa") + F.size("sb")) * num
+    out = written(spark, both.where(similar).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct(), "line-later")
+    discard(heads, pairs)
+    return out
 
 
-def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(row, lines array<int>) of the rows that lose lines."""
     spark = docs.sparkSession
-    pairs = written(spark, candidates(docs, rarity(docs), num, den, min_tokens), "line-pairs")
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("d")
-    places = written(spark, _lines(docs, min_tokens).select("key", d, "line", "row"), "line-places")
-    firsts = written(spark, places.groupBy("key").agg(F.min(F.struct("d", "line", "row")).alias("first"), F.count("*").alias("times")), "line-firsts")
-    # each class meets its earliest candidate; only what that does not confirm meets the others
-    nearest = written(spark, pairs.groupBy("late").agg(F.min_by("early", F.struct("d", "line", "early")).alias("early")), "line-nearest")
-    keys = pairs.select(F.col("early").alias("key")).union(pairs.select(F.col("late").alias("key"))).distinct()
-    spots = keys.join(firsts, "key").groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("spots"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    words = spots.join(texts, "row").select(F.split("text", "\n").alias("parts"), F.explode("spots").alias("spot"))
-    words = words.select(F.col("spot.key").alias("key"), F.element_at("parts", F.col("spot.line") + 1).alias("words")).dropDuplicates(["key"])
-    words = written(spark, words, "line-words")
-    settled = written(spark, _later(nearest.select("early", "late"), words, num, den), "line-later")
-    rest = pairs.select("early", "late").join(settled, "late", "left_anti").join(nearest, ["late", "early"], "left_anti")
-    later = settled.union(_later(rest, words, num, den)).select(F.col("late").alias("key"), F.lit(True).alias("later"))
+    classes = line_classes(docs)
+    ranks = rarity(classes)
+    settled = later(written(spark, head_pairs(classes, ranks), "line-bands"), classes, num, den)
+    others = later(written(spark, candidates(classes, settled, ranks, num, den), "line-pairs"), classes, num, den)
+    gone = settled.union(others).distinct().select("key", F.lit(True).alias("later"))
     # only classes with something to remove travel on
-    judged = firsts.join(later, "key", "left").where(F.col("later") | (F.col("times") > 1)).select("key", "first", "later")
-    same_place = (F.col("d") == F.col("first.d")) & (F.col("line") == F.col("first.line"))
-    gone = places.join(judged, "key").where(F.col("later") | ~same_place)
-    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    judged = classes.select("key", "place.line", "place.row", "times").join(gone, "key", "left").where(F.col("later") | (F.col("times") > 1))
+    judged = written(spark, judged.select("key", F.col("line").alias("l"), F.col("row").alias("r"), F.coalesce("later", F.lit(False)).alias("later")), "line-judged")
+    discard(classes, settled, others)
+    lost = _lines(docs).select("row", "line", "key").join(judged, "key").where(F.col("later") | (F.col("row") != F.col("r")) | (F.col("line") != F.col("l")))
+    return lost.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with the later similar lines taken out of ``text``; adds n_lines and n_removed_lines.
 
-    The other columns stay; a column named n_chars is recomputed.
+    The other columns stay; a column named n_chars is recomputed, columns named
+    n_lines or n_removed_lines are replaced.
     """
-    gone = removed_lines(docs, num, den, min_tokens).withColumnRenamed("row", "__row")
-    out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("lines", "__gone"), "__row", "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__gone"), s["i"]))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    counted = {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)),
-        "n_removed_lines": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")),
+    gone = removed_lines(docs, num, den)
+    out = docs.select(_row().alias("row"), F.struct("*").alias("doc")).join(gone, "row", "left")
+    text, parts = F.col("doc.text"), F.split("doc.text", "\n")
+    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("lines"), s["i"]))
+    made = {
+        "text": F.when(F.col("lines").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n")),
+        "n_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)),
+        "n_removed_lines": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")),
     }
-    out = out.withColumns(counted | {"text": text}).drop("__row", "__gone")
+    names = [c for c in docs.columns if c not in made or c == "text"]
+    out = out.select(*(made[c].alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in names), made["n_lines"].alias("n_lines"), made["n_removed_lines"].alias("n_removed_lines"))
     return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out
