@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, discard, written
 
 NUM, DEN = 4, 5
-BUCKETS = 1 << 19
+BUCKETS = 1 << 16  # the table of ranks is a literal in the plans
 SKETCH = 3
 #: what Python's str.split() parts words at
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
@@ -69,18 +69,19 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return bucketed(firsts.select("key", "place", "times", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("set")), "key", "line-classes")
 
 
-def rarity(classes: DataFrame) -> np.ndarray:
-    """The log-scale count of each bucket, from 1 (least) to 127."""
+def rarity(classes: DataFrame) -> tuple[bytearray, int]:
+    """The log-scale count of each bucket, from 1 (least) to 127; and the rank of twice the mean bucket."""
     counts = classes.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
-    table = np.ones(BUCKETS, np.uint8)
     got = counts.toArrow()  # at most BUCKETS rows
-    table[got.column(0).to_numpy()] = np.minimum(127, 1 + 4 * np.log2(got.column(1).to_numpy()))
-    return table
+    n = got.column(1).to_numpy()
+    table = np.ones(BUCKETS, np.uint8)
+    table[got.column(0).to_numpy()] = np.minimum(127, 1 + 4 * np.log2(n))
+    return bytearray(table.tobytes()), min(127, int(1 + 4 * math.log2(max(1.0, 2 * n.sum() / BUCKETS))))
 
 
-def _ordered(ranks: np.ndarray) -> Column:
-    """The set in order of rarity, each token as its rank above the other bits of its hash."""
-    table = F.lit(bytearray(ranks.tobytes()))
+def _ordered(ranks: bytearray, level: int = 1) -> Column:
+    """The set in order of rarity, each token as its rank, ``level`` at least, above the other bits of its hash."""
+    table = F.lit(bytearray(max(r, level) for r in ranks))
 
     def ranked(h: Column) -> Column:
         byte = F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
@@ -89,12 +90,12 @@ def _ordered(ranks: np.ndarray) -> Column:
     return F.sort_array(F.transform("set", ranked))
 
 
-def head_pairs(classes: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(a, b) pairs of classes with a band in common; a is the earliest class of that band."""
-    # ranks below one token in 2^16 are level, so that the hash decides among them
-    level = int(max(1, math.log2(max(2.0, float(np.exp2(ranks / 4.0).sum()) / (1 << 16))) * 4))
-    order = _ordered(np.maximum(ranks, min(127, level)).astype(np.uint8))
-    least = classes.select("key", "place", F.size("set").alias("n"), F.slice(order, 1, SKETCH).alias("low"))
+def head_pairs(classes: DataFrame, ranks: bytearray, level: int) -> DataFrame:
+    """(a, b) pairs of classes with a band in common; a is the earliest class of that band.
+
+    Ranks up to ``level`` are one, so that the hash decides among the less frequent tokens.
+    """
+    least = classes.select("key", "place", F.size("set").alias("n"), F.slice(_ordered(ranks, level), 1, SKETCH).alias("low"))
     both = [F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
     bands = least.select("key", "place", "n", F.explode(F.array_distinct(F.array(*both))).alias("band"))
     heads = bands.groupBy("band").agg(F.min(F.struct("place", "key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
@@ -103,7 +104,7 @@ def head_pairs(classes: DataFrame, ranks: np.ndarray) -> DataFrame:
     return met.where((F.col("key") != F.col("a")) & fits).select("a", F.col("key").alias("b")).distinct()
 
 
-def prefixes(classes: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
     """(token, key, n, at, sig): a row for each prefix token of each class."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     sets = classes.select("key", _ordered(ranks).alias("set"))
@@ -114,7 +115,7 @@ def prefixes(classes: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataF
     return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "sig")
 
 
-def candidates(classes: DataFrame, settled: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
     """(a, b) pairs of classes that pass the filters, at least one of them unsettled."""
     open_ = prefixes(classes.join(settled, "key", "left_anti"), ranks, num, den)
     shut = prefixes(classes.join(settled, "key", "left_semi"), ranks, num, den)
@@ -147,8 +148,8 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(row, lines array<int>) of the rows that lose lines."""
     spark = docs.sparkSession
     classes = line_classes(docs)
-    ranks = rarity(classes)
-    settled = later(written(spark, head_pairs(classes, ranks), "line-bands"), classes, num, den)
+    ranks, level = rarity(classes)
+    settled = later(written(spark, head_pairs(classes, ranks, level), "line-bands"), classes, num, den)
     others = later(written(spark, candidates(classes, settled, ranks, num, den), "line-pairs"), classes, num, den)
     gone = settled.union(others).distinct().select("key", F.lit(True).alias("later"))
     # only classes with something to remove travel on
