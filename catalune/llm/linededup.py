@@ -56,9 +56,13 @@ def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + F.lit(b - 1)) / F.lit(b)).cast("int")
 
 
+# Plain explode and columns that may be null make the optimizer add filters that compute the exploded
+# or compared expression once more below; posexplode_outer and coalesce keep them out.
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line, words, key) of the lines that are not blank; key is the class."""
-    lines = docs.select(_row().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    lines = docs.select(_row().alias("row"), "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
     return lines.where(F.col("words").rlike(f"[^{SPACE}]")).withColumn("key", F.xxhash64(F.lower("words")))
 
 
@@ -97,7 +101,7 @@ def head_pairs(classes: DataFrame, ranks: bytearray, level: int) -> DataFrame:
     """
     least = classes.select("key", "place", F.size("set").alias("n"), F.slice(_ordered(ranks, level), 1, SKETCH).alias("low"))
     both = [F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    bands = least.select("key", "place", "n", F.explode(F.array_distinct(F.array(*both))).alias("band"))
+    bands = least.select("key", "place", "n", F.explode_outer(F.array_distinct(F.array(*both))).alias("band"))
     heads = bands.groupBy("band").agg(F.min(F.struct("place", "key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     met = bands.select("band", "key", "n").join(heads.select("band", F.col("head.key").alias("a"), F.col("head.n").alias("m")), "band")
     fits = F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM
@@ -109,16 +113,16 @@ def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFr
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     sets = classes.select("key", _ordered(ranks).alias("set"))
     sig = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-    sets = sets.select("key", F.size("set").alias("n"), sig.alias("sig"), "set")
+    sets = sets.where("key is not null").select("key", F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.coalesce(sig, F.lit(0).cast("long")).alias("sig"), "set")
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = sets.select("key", "n", "sig", F.posexplode(F.slice("set", 1, size)).alias("at", "token"))
+    out = sets.select("key", "n", "sig", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
     return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "sig")
 
 
 def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
     """(a, b) pairs of classes that pass the filters, at least one of them unsettled."""
-    open_ = prefixes(classes.join(settled, "key", "left_anti"), ranks, num, den)
-    shut = prefixes(classes.join(settled, "key", "left_semi"), ranks, num, den)
+    open_ = prefixes(classes.join(settled.hint("shuffle_hash"), "key", "left_anti"), ranks, num, den)
+    shut = prefixes(classes.join(settled.hint("shuffle_hash"), "key", "left_semi"), ranks, num, den)
     a, b, c = open_.alias("a"), open_.alias("b"), shut.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     need = _ceil((na + nb) * num, num + den)
@@ -136,8 +140,9 @@ def later(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     """(key) of the later class of each similar pair (a, b)."""
     spark = classes.sparkSession
     # one class may head many pairs: its set is a table of its own, so that a large group's pairs can be split
-    heads = written(spark, classes.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.col("place").alias("pa"), F.col("set").alias("sa")), "line-heads")
-    both = pairs.join(classes.select(F.col("key").alias("b"), F.col("place").alias("pb"), F.col("set").alias("sb")), "b").join(heads, "a")
+    heads = written(spark, classes.join(pairs.select(F.col("a").alias("key")).distinct().hint("shuffle_hash"), "key", "left_semi").select(F.col("key").alias("a"), F.col("place").alias("pa"), F.col("set").alias("sa")), "line-heads")
+    others = classes.select(F.col("key").alias("b"), F.col("place").alias("pb"), F.col("set").alias("sb"))
+    both = others.join(pairs.hint("shuffle_hash"), "b").join(heads, "a")
     similar = F.size(F.array_intersect("sa", "sb")) * (num + den) >= (F.size("sa") + F.size("sb")) * num
     out = written(spark, both.where(similar).select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct(), "line-later")
     discard(heads, pairs)
@@ -153,7 +158,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     others = later(written(spark, candidates(classes, settled, ranks, num, den), "line-pairs"), classes, num, den)
     gone = settled.union(others).distinct().select("key", F.lit(True).alias("later"))
     # only classes with something to remove travel on
-    judged = classes.select("key", "place.line", "place.row", "times").join(gone, "key", "left").where(F.col("later") | (F.col("times") > 1))
+    judged = classes.select("key", "place.line", "place.row", "times").join(gone.hint("shuffle_hash"), "key", "left").where(F.col("later") | (F.col("times") > 1))
     judged = written(spark, judged.select("key", F.col("line").alias("l"), F.col("row").alias("r"), F.coalesce("later", F.lit(False)).alias("later")), "line-judged")
     discard(classes, settled, others)
     lost = _lines(docs).select("row", "line", "key").join(judged, "key").where(F.col("later") | (F.col("row") != F.col("r")) | (F.col("line") != F.col("l")))
