@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path = _path(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.bucketBy(n, key).option("path", path).saveAsTable(made)
+    df.write.bucketBy(n, key).options(path=path, compression="lz4_raw", **{"parquet.enable.dictionary": "false"}).saveAsTable(made)
     del df
     _release(spark)
     return spark.table(made)

@@ -44,6 +44,7 @@ from .common import bucketed, discard, written
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16  # the table of ranks is a literal in the plans
 SKETCH = 3
+LONG, LONGER = 64, 192  # tokens of a line above which signatures have 128 and 256 bins
 #: what Python's str.split() parts words at
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
@@ -99,24 +100,53 @@ def head_pairs(classes: DataFrame, ranks: bytearray, level: int) -> DataFrame:
 
     Ranks up to ``level`` are one, so that the hash decides among the less frequent tokens.
     """
-    least = classes.select("key", "place", F.size("set").alias("n"), F.slice(_ordered(ranks, level), 1, SKETCH).alias("low"))
+    spark = classes.sparkSession
+    least = classes.select("key", F.size("set").alias("n"), F.slice(_ordered(ranks, level), 1, SKETCH).alias("low"))
     both = [F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    bands = least.select("key", "place", "n", F.explode_outer(F.array_distinct(F.array(*both))).alias("band"))
-    heads = bands.groupBy("band").agg(F.min(F.struct("place", "key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    met = bands.select("band", "key", "n").join(heads.select("band", F.col("head.key").alias("a"), F.col("head.n").alias("m")), "band")
+    bands = written(spark, least.select("key", "n", F.explode_outer(F.array_distinct(F.array(*both))).alias("band")), "line-bands")
+    shared = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band")
+    # most bands are of one class: only the others' rows look up their places
+    met = written(spark, bands.join(shared.hint("shuffle_hash"), "band"), "line-met")
+    placed = classes.select("key", "place").join(met.hint("shuffle_hash"), "key")
+    heads = placed.groupBy("band").agg(F.min(F.struct("place", "key", "n")).alias("head")).select("band", F.col("head.key").alias("a"), F.col("head.n").alias("m"))
     fits = F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM
-    return met.where((F.col("key") != F.col("a")) & fits).select("a", F.col("key").alias("b")).distinct()
+    pairs = written(spark, met.join(heads, "band").where((F.col("key") != F.col("a")) & fits).select("a", F.col("key").alias("b")).distinct(), "line-near")
+    discard(bands, met)
+    return pairs
 
 
-def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
-    """(token, key, n, at, sig): a row for each prefix token of each class."""
+def _parity(tokens: Column) -> Column:
+    """The tokens' counts modulo 2 in 64 bins."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    sets = classes.select("key", _ordered(ranks).alias("set"))
-    sig = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-    sets = sets.where("key is not null").select("key", F.coalesce(F.size("set"), F.lit(0)).alias("n"), F.coalesce(sig, F.lit(0).cast("long")).alias("sig"), "set")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+
+def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
+    """(token, key, n, at, s0, s1, s2, s3): a row for each prefix token of each class.
+
+    s0 is the parity signature in 64 bins. For longer lines, s1 is that of one
+    half of the tokens, and for still longer ones s2 and s3 of a quarter each, so
+    that 128 or 256 bins can be told from them.
+    """
+    sets = classes.select("key", _ordered(ranks).alias("set")).where("key is not null").select("key", "set", F.coalesce(F.size("set"), F.lit(0)).alias("n"))
+
+    def part(above: int, low: int, high: int) -> Column:
+        own = F.when(F.col("n") > above, _parity(F.filter("set", lambda h: h.bitwiseAND(F.lit(high)) == low)))
+        return F.coalesce(own, F.lit(0).cast("long"))
+
+    sets = sets.select("key", "n", "set", F.coalesce(_parity(F.col("set")), F.lit(0).cast("long")).alias("s0"), part(LONG, 64, 64).alias("s1"), part(LONGER, 128, 192).alias("s2"), part(LONGER, 192, 192).alias("s3"))
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = sets.select("key", "n", "sig", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
-    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "sig")
+    out = sets.select("key", "n", "s0", "s1", "s2", "s3", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
+    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "s0", "s1", "s2", "s3")
+
+
+def _apart() -> Column:
+    """A lower bound on the tokens that only one of the lines a and b has: the bins whose parity differs."""
+    s0, s1, s2, s3 = (F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")) for s in ("s0", "s1", "s2", "s3"))
+    rest = s0.bitwiseXOR(s1)
+    least = F.least("a.n", "b.n")
+    quarters = F.bit_count(s2) + F.bit_count(rest.bitwiseXOR(s2)) + F.bit_count(s3) + F.bit_count(s1.bitwiseXOR(s3))
+    return F.when(least <= LONG, F.bit_count(s0)).when(least <= LONGER, F.bit_count(s1) + F.bit_count(rest)).otherwise(quarters)
 
 
 def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
@@ -129,8 +159,8 @@ def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: in
     fits = (
         (F.col("a.token") == F.col("b.token"))
         & (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-        & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need)
         & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need)
+        & (_apart() <= na + nb - 2 * need)
     )
     pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
     return a.join(b, fits & (F.col("a.key") < F.col("b.key"))).select(pair).union(a.join(c, fits).select(pair)).distinct()
@@ -154,7 +184,7 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     spark = docs.sparkSession
     classes = line_classes(docs)
     ranks, level = rarity(classes)
-    settled = later(written(spark, head_pairs(classes, ranks, level), "line-bands"), classes, num, den)
+    settled = later(head_pairs(classes, ranks, level), classes, num, den)
     others = later(written(spark, candidates(classes, settled, ranks, num, den), "line-pairs"), classes, num, den)
     gone = settled.union(others).distinct().select("key", F.lit(True).alias("later"))
     # only classes with something to remove travel on
