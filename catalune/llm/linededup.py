@@ -12,10 +12,10 @@ hash of the row. Every line with a token takes part; blank lines stay.
 2. Tokens are ordered by rarity: the number of classes with a token, summed in
    ``BUCKETS`` hash buckets, on a logarithmic scale, then by hash. Any fixed
    order keeps the join exact.
-3. Heads. A band is two of the ``SKETCH`` tokens of least hash among the less
-   frequent ones. Each class is verified against the earliest class of each of
-   its bands. That is linear, and settles the members of large groups of near
-   copies: they need not meet each other.
+3. Heads. A band is two of the ``SKETCH`` tokens of least hash. The earliest classes of ``HEADS`` parts of a band are its
+   heads. Each class is verified against that earlier head of its bands which
+   is least apart by a signature. That is linear, and settles most members of
+   large groups of near copies: they need not meet each other.
 4. Prefix filter: similar lines share a token among their first
    n - ceil(t n) + 1. Unsettled classes meet all classes by prefix token; two
    settled ones never meet. A length filter, the positional bound on the
@@ -33,8 +33,6 @@ classes is by 64-bit hash.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +42,7 @@ from .common import bucketed, discard, written
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16  # the table of ranks is a literal in the plans
 SKETCH = 3
+HEADS = 16
 LONG, LONGER = 64, 192  # tokens of a line above which signatures have 128 and 256 bins
 #: what Python's str.split() parts words at
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
@@ -74,19 +73,18 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return bucketed(firsts.select("key", "place", "times", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("set")), "key", "line-classes")
 
 
-def rarity(classes: DataFrame) -> tuple[bytearray, int]:
-    """The log-scale count of each bucket, from 1 (least) to 127; and the rank of twice the mean bucket."""
+def rarity(classes: DataFrame) -> bytearray:
+    """The log-scale count of each bucket, from 1 (least) to 127."""
     counts = classes.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     got = counts.toArrow()  # at most BUCKETS rows
-    n = got.column(1).to_numpy()
     table = np.ones(BUCKETS, np.uint8)
-    table[got.column(0).to_numpy()] = np.minimum(127, 1 + 4 * np.log2(n))
-    return bytearray(table.tobytes()), min(127, int(1 + 4 * math.log2(max(1.0, 2 * n.sum() / BUCKETS))))
+    table[got.column(0).to_numpy()] = np.minimum(127, 1 + 4 * np.log2(got.column(1).to_numpy()))
+    return bytearray(table.tobytes())
 
 
-def _ordered(ranks: bytearray, level: int = 1) -> Column:
-    """The set in order of rarity, each token as its rank, ``level`` at least, above the other bits of its hash."""
-    table = F.lit(bytearray(max(r, level) for r in ranks))
+def _ordered(ranks: bytearray) -> Column:
+    """The set in order of rarity, each token as its rank above the other bits of its hash."""
+    table = F.lit(ranks)
 
     def ranked(h: Column) -> Column:
         byte = F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
@@ -95,49 +93,27 @@ def _ordered(ranks: bytearray, level: int = 1) -> Column:
     return F.sort_array(F.transform("set", ranked))
 
 
-def head_pairs(classes: DataFrame, ranks: bytearray, level: int) -> DataFrame:
-    """(a, b) pairs of classes with a band in common; a is the earliest class of that band.
-
-    Ranks up to ``level`` are one, so that the hash decides among the less frequent tokens.
-    """
-    spark = classes.sparkSession
-    least = classes.select("key", F.size("set").alias("n"), F.slice(_ordered(ranks, level), 1, SKETCH).alias("low"))
-    both = [F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
-    bands = written(spark, least.select("key", "n", F.explode_outer(F.array_distinct(F.array(*both))).alias("band")), "line-bands")
-    shared = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band")
-    # most bands are of one class: only the others' rows look up their places
-    met = written(spark, bands.join(shared.hint("shuffle_hash"), "band"), "line-met")
-    placed = classes.select("key", "place").join(met.hint("shuffle_hash"), "key")
-    heads = placed.groupBy("band").agg(F.min(F.struct("place", "key", "n")).alias("head")).select("band", F.col("head.key").alias("a"), F.col("head.n").alias("m"))
-    fits = F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM
-    pairs = written(spark, met.join(heads, "band").where((F.col("key") != F.col("a")) & fits).select("a", F.col("key").alias("b")).distinct(), "line-near")
-    discard(bands, met)
-    return pairs
-
-
 def _parity(tokens: Column) -> Column:
     """The tokens' counts modulo 2 in 64 bins."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
-def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
-    """(token, key, n, at, s0, s1, s2, s3): a row for each prefix token of each class.
+def _signed(classes: DataFrame, ranks: bytearray, *keep: str) -> DataFrame:
+    """(key, n, set, s0, s1, s2, s3) of each class, the set in order of rarity.
 
     s0 is the parity signature in 64 bins. For longer lines, s1 is that of one
     half of the tokens, and for still longer ones s2 and s3 of a quarter each, so
     that 128 or 256 bins can be told from them.
     """
-    sets = classes.select("key", _ordered(ranks).alias("set")).where("key is not null").select("key", "set", F.coalesce(F.size("set"), F.lit(0)).alias("n"))
+    sets = classes.select("key", *keep, _ordered(ranks).alias("set")).where("key is not null").select("key", *keep, "set", F.coalesce(F.size("set"), F.lit(0)).alias("n"))
 
     def part(above: int, low: int, high: int) -> Column:
         own = F.when(F.col("n") > above, _parity(F.filter("set", lambda h: h.bitwiseAND(F.lit(high)) == low)))
         return F.coalesce(own, F.lit(0).cast("long"))
 
-    sets = sets.select("key", "n", "set", F.coalesce(_parity(F.col("set")), F.lit(0).cast("long")).alias("s0"), part(LONG, 64, 64).alias("s1"), part(LONGER, 128, 192).alias("s2"), part(LONGER, 192, 192).alias("s3"))
-    size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = sets.select("key", "n", "s0", "s1", "s2", "s3", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
-    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "s0", "s1", "s2", "s3")
+    signs = F.coalesce(_parity(F.col("set")), F.lit(0).cast("long")).alias("s0"), part(LONG, 64, 64).alias("s1"), part(LONGER, 128, 192).alias("s2"), part(LONGER, 192, 192).alias("s3")
+    return sets.select("key", *keep, "n", "set", *signs)
 
 
 def _apart() -> Column:
@@ -149,21 +125,56 @@ def _apart() -> Column:
     return F.when(least <= LONG, F.bit_count(s0)).when(least <= LONGER, F.bit_count(s1) + F.bit_count(rest)).otherwise(quarters)
 
 
+def _fit(num: int, den: int) -> Column:
+    """The length filter and the bound of the signatures."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (_apart() <= na + nb - 2 * _need(num, den))
+
+
+def _need(num: int, den: int) -> Column:
+    """The tokens that similar lines a and b have in common, at least."""
+    return _ceil((F.col("a.n") + F.col("b.n")) * num, num + den)
+
+
+def head_pairs(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
+    """(a, b): for each class b with an earlier head in one of its bands that may be similar, the one least apart.
+
+    A band's heads are the earliest classes of ``HEADS`` parts of it. Bands go by
+    hash alone: by rarity, the words that a near copy has of its own would come
+    first.
+    """
+    spark = classes.sparkSession
+    least = classes.select("key", F.slice(F.sort_array("set"), 1, SKETCH).alias("low"))
+    both = [F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(SKETCH) for j in range(i + 1, SKETCH)]
+    bands = written(spark, least.select("key", F.explode_outer(F.array_distinct(F.array(*both))).alias("band")), "line-bands")
+    shared = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band")
+    # most bands are of one class: only the others' classes are signed
+    met = written(spark, bands.join(shared.hint("shuffle_hash"), "band"), "line-met")
+    own = classes.join(met.select("key").distinct().hint("shuffle_hash"), "key", "left_semi")
+    signed = written(spark, _signed(own, ranks, "place").drop("set").join(met, "key"), "line-members")
+    heads = signed.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(HEADS))).agg(F.min(F.struct("place", "key", "n", "s0", "s1", "s2", "s3")).alias("head")).select("band", "head.*")
+    near = heads.alias("a").join(signed.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.place") < F.col("b.place")) & _fit(num, den))
+    nearest = near.groupBy(F.col("b.key").alias("b")).agg(F.min(F.struct(_apart().alias("apart"), F.col("a.place"), F.col("a.key").alias("a"))).alias("x"))
+    pairs = written(spark, nearest.select("x.a", "b"), "line-near")
+    discard(bands, met, signed)
+    return pairs
+
+
+def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
+    """(token, key, n, at, s0, s1, s2, s3): a row for each prefix token of each class."""
+    size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
+    out = _signed(classes, ranks).select("key", "n", "s0", "s1", "s2", "s3", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
+    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "s0", "s1", "s2", "s3")
+
+
 def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
     """(a, b) pairs of classes that pass the filters, at least one of them unsettled."""
     open_ = prefixes(classes.join(settled.hint("shuffle_hash"), "key", "left_anti"), ranks, num, den)
     shut = prefixes(classes.join(settled.hint("shuffle_hash"), "key", "left_semi"), ranks, num, den)
     a, b, c = open_.alias("a"), open_.alias("b"), shut.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    need = _ceil((na + nb) * num, num + den)
-    fits = (
-        (F.col("a.token") == F.col("b.token"))
-        & (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need)
-        & (_apart() <= na + nb - 2 * need)
-    )
+    meet = (F.col("a.token") == F.col("b.token")) & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= _need(num, den)) & _fit(num, den)
     pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
-    return a.join(b, fits & (F.col("a.key") < F.col("b.key"))).select(pair).union(a.join(c, fits).select(pair)).distinct()
+    return a.join(b, meet & (F.col("a.key") < F.col("b.key"))).select(pair).union(a.join(c, meet).select(pair)).distinct()
 
 
 def later(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -183,8 +194,8 @@ def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(row, lines array<int>) of the rows that lose lines."""
     spark = docs.sparkSession
     classes = line_classes(docs)
-    ranks, level = rarity(classes)
-    settled = later(head_pairs(classes, ranks, level), classes, num, den)
+    ranks = rarity(classes)
+    settled = later(head_pairs(classes, ranks, num, den), classes, num, den)
     others = later(written(spark, candidates(classes, settled, ranks, num, den), "line-pairs"), classes, num, den)
     gone = settled.union(others).distinct().select("key", F.lit(True).alias("later"))
     # only classes with something to remove travel on
