@@ -43,7 +43,7 @@ NUM, DEN = 4, 5
 BUCKETS = 1 << 16  # the table of ranks is a literal in the plans
 SKETCH = 3
 HEADS = 16
-LONG, LONGER = 64, 192  # tokens of a line above which signatures have 128 and 256 bins
+LONG, LONGER = 64, 192  # tokens of a line above which signatures have 128 and 192 bins
 #: what Python's str.split() parts words at
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
@@ -100,11 +100,11 @@ def _parity(tokens: Column) -> Column:
 
 
 def _signed(classes: DataFrame, ranks: bytearray, *keep: str) -> DataFrame:
-    """(key, n, set, s0, s1, s2, s3) of each class, the set in order of rarity.
+    """(key, n, set, s0, s1, s2) of each class, the set in order of rarity.
 
     s0 is the parity signature in 64 bins. For longer lines, s1 is that of one
-    half of the tokens, and for still longer ones s2 and s3 of a quarter each, so
-    that 128 or 256 bins can be told from them.
+    half of the tokens, and for still longer ones s2 of a quarter of them, in the
+    other half, so that 128 or 192 bins can be told from them.
     """
     sets = classes.select("key", *keep, _ordered(ranks).alias("set")).where("key is not null").select("key", *keep, "set", F.coalesce(F.size("set"), F.lit(0)).alias("n"))
 
@@ -112,28 +112,26 @@ def _signed(classes: DataFrame, ranks: bytearray, *keep: str) -> DataFrame:
         own = F.when(F.col("n") > above, _parity(F.filter("set", lambda h: h.bitwiseAND(F.lit(high)) == low)))
         return F.coalesce(own, F.lit(0).cast("long"))
 
-    signs = F.coalesce(_parity(F.col("set")), F.lit(0).cast("long")).alias("s0"), part(LONG, 64, 64).alias("s1"), part(LONGER, 128, 192).alias("s2"), part(LONGER, 192, 192).alias("s3")
+    signs = F.coalesce(_parity(F.col("set")), F.lit(0).cast("long")).alias("s0"), part(LONG, 64, 64).alias("s1"), part(LONGER, 128, 192).alias("s2")
     return sets.select("key", *keep, "n", "set", *signs)
 
 
-def _apart() -> Column:
-    """A lower bound on the tokens that only one of the lines a and b has: the bins whose parity differs."""
-    s0, s1, s2, s3 = (F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")) for s in ("s0", "s1", "s2", "s3"))
+def _apart(least: Column) -> Column:
+    """A lower bound on the tokens that only one of the lines a and b has: the bins whose parity differs; least: the shorter's size."""
+    s0, s1, s2 = (F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")) for s in ("s0", "s1", "s2"))
     rest = s0.bitwiseXOR(s1)
-    least = F.least("a.n", "b.n")
-    quarters = F.bit_count(s2) + F.bit_count(rest.bitwiseXOR(s2)) + F.bit_count(s3) + F.bit_count(s1.bitwiseXOR(s3))
-    return F.when(least <= LONG, F.bit_count(s0)).when(least <= LONGER, F.bit_count(s1) + F.bit_count(rest)).otherwise(quarters)
+    thirds = F.bit_count(s1) + F.bit_count(s2) + F.bit_count(rest.bitwiseXOR(s2))
+    return F.when(least <= LONG, F.bit_count(s0)).when(least <= LONGER, F.bit_count(s1) + F.bit_count(rest)).otherwise(thirds)
 
 
-def _fit(num: int, den: int) -> Column:
-    """The length filter and the bound of the signatures."""
-    na, nb = F.col("a.n"), F.col("b.n")
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (_apart() <= na + nb - 2 * _need(num, den))
+def _need(na: Column, nb: Column, num: int, den: int) -> Column:
+    """The tokens that similar lines have in common, at least."""
+    return _ceil((na + nb) * num, num + den)
 
 
-def _need(num: int, den: int) -> Column:
-    """The tokens that similar lines a and b have in common, at least."""
-    return _ceil((F.col("a.n") + F.col("b.n")) * num, num + den)
+def _fit(na: Column, nb: Column, num: int, den: int) -> Column:
+    """The length filter and the bound of the signatures."""
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (_apart(F.least(na, nb)) <= na + nb - 2 * _need(na, nb, num, den))
 
 
 def head_pairs(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
@@ -152,19 +150,20 @@ def head_pairs(classes: DataFrame, ranks: bytearray, num: int, den: int) -> Data
     met = written(spark, bands.join(shared.hint("shuffle_hash"), "band"), "line-met")
     own = classes.join(met.select("key").distinct().hint("shuffle_hash"), "key", "left_semi")
     signed = written(spark, _signed(own, ranks, "place").drop("set").join(met, "key"), "line-members")
-    heads = signed.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(HEADS))).agg(F.min(F.struct("place", "key", "n", "s0", "s1", "s2", "s3")).alias("head")).select("band", "head.*")
-    near = heads.alias("a").join(signed.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.place") < F.col("b.place")) & _fit(num, den))
-    nearest = near.groupBy(F.col("b.key").alias("b")).agg(F.min(F.struct(_apart().alias("apart"), F.col("a.place"), F.col("a.key").alias("a"))).alias("x"))
+    heads = signed.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(HEADS))).agg(F.min(F.struct("place", "key", "n", "s0", "s1", "s2")).alias("head")).select("band", "head.*")
+    near = heads.alias("a").join(signed.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.place") < F.col("b.place")) & _fit(F.col("a.n"), F.col("b.n"), num, den))
+    nearest = near.groupBy(F.col("b.key").alias("b")).agg(F.min(F.struct(_apart(F.least("a.n", "b.n")).alias("apart"), F.col("a.place"), F.col("a.key").alias("a"))).alias("x"))
     pairs = written(spark, nearest.select("x.a", "b"), "line-near")
     discard(bands, met, signed)
     return pairs
 
 
 def prefixes(classes: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
-    """(token, key, n, at, s0, s1, s2, s3): a row for each prefix token of each class."""
+    """(token, key, sized, s0, s1, s2): a row for each prefix token of each class; sized holds n above and the position below."""
     size = (F.col("n") - _ceil(F.col("n") * num, den) + 1).cast("int")
-    out = _signed(classes, ranks).select("key", "n", "s0", "s1", "s2", "s3", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
-    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", "n", "at", "s0", "s1", "s2", "s3")
+    out = _signed(classes, ranks).select("key", "n", "s0", "s1", "s2", F.posexplode_outer(F.slice("set", 1, size)).alias("at", "token"))
+    sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.coalesce("at", F.lit(0)).cast("long"))
+    return out.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"), "key", sized.alias("sized"), "s0", "s1", "s2")
 
 
 def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: int, den: int) -> DataFrame:
@@ -172,7 +171,9 @@ def candidates(classes: DataFrame, settled: DataFrame, ranks: bytearray, num: in
     open_ = prefixes(classes.join(settled.hint("shuffle_hash"), "key", "left_anti"), ranks, num, den)
     shut = prefixes(classes.join(settled.hint("shuffle_hash"), "key", "left_semi"), ranks, num, den)
     a, b, c = open_.alias("a"), open_.alias("b"), shut.alias("b")
-    meet = (F.col("a.token") == F.col("b.token")) & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= _need(num, den)) & _fit(num, den)
+    na, nb = (F.shiftright(f"{x}.sized", 32).cast("int") for x in "ab")
+    left = F.least(*(n - F.col(f"{x}.sized").bitwiseAND(F.lit((1 << 32) - 1)) for x, n in (("a", na), ("b", nb))))
+    meet = (F.col("a.token") == F.col("b.token")) & (left >= _need(na, nb, num, den)) & _fit(na, nb, num, den)
     pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
     return a.join(b, meet & (F.col("a.key") < F.col("b.key"))).select(pair).union(a.join(c, meet).select(pair)).distinct()
 
