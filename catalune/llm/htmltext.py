@@ -4,13 +4,15 @@ A page is scanned into blocks: runs of text between block-level tags, each with
 the path of open elements. Blocks with the same path form a node. Every node
 gets two costs, for calling it content and for calling it boilerplate, from
 tag names, class and id words, link share and length; they are the capacities
-to the terminals. Smoothness edges join nodes that follow each other and
-nodes that are close in the tree. Maximum flow (shortest augmenting paths)
-gives the cut of least cost: nodes left on the content side are the article.
-
-Text of scripts, styles and the like never becomes a block. Boilerplate
-containers that HTML or their names mark as such carry a capacity no other
-term outweighs. Null and empty pages give an empty text; unclosed, truncated
+to the terminals. Smoothness edges join nodes that follow each other, siblings
+(over a marked block between them) and a parent's own text with its children.
+Maximum flow (shortest augmenting paths) gives the cut of least cost: nodes left
+on the content side are the article.
+
+Text of scripts, styles and the like never becomes a block. The costs are a
+linear score with fixed weights, not a fitted one. Elements that HTML marks as
+no part of an article cost much as content, names of classes and ids less, so
+that long text in an article outweighs a doubtful name. Null and empty pages give an empty text; unclosed, truncated
 or stray tags are tolerated; extra columns are ignored; repeated rows are
 extracted each.
 """
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-label|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A quote opens a value only after "="; elsewhere it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?|[^>=])*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-_RAW = frozenset("script style template noscript iframe object svg math canvas audio video textarea select datalist title".split())
+_RAW = frozenset("script style template noscript iframe object svg canvas audio video textarea select datalist title".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A new one of these ends an open paragraph.
@@ -40,59 +43,58 @@ _SCOPE = frozenset("html body table td th button article section div main aside
 
 _DROP_TAGS = frozenset("nav footer aside form head button menu dialog".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id values.
+#: Words of class and id values that name what is seldom part of an article, and those that may also name a part of one.
 _BAD = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation navi menu menus submenu topbar toolbar breadcrumb breadcrumbs sidebar aside rail footer foot masthead comment comments reply replies disqus respond responses cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations trending widget widgets pagination pager copyright legal disclaimer form search searchform skip skiplink tags taglist byline-ads".split()
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted nav navbar navigation navi menu menus submenu topbar toolbar breadcrumb breadcrumbs sidebar footer masthead comment comments reply replies disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login register share sharing recommendations trending widget widgets pagination pager skiplink taglist byline-ads".split()
 )
+_DOUBTFUL = frozenset("banner aside rail foot respond responses notice notices alert social related recommended copyright legal disclaimer form search searchform skip tags".split())
+#: Costs of calling a block content: by what its tag, role or state says, and by its names (a whole name, a part of one).
+_MARKED, _NAMED, _DOUBTED = 1000, (400, 250), (90, 50)
 _GOOD = frozenset("article post content entry story main body text articlebody maincontent prose markdown page-content blog".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_HARD = 1_000_000
 _SPACE = re.compile(r"\s+")
 _NOTICE = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\blog ?in\b", re.I)
 
 
-def _name_words(value: str) -> set[str]:
-    out = {w.lower() for w in _WORDS.findall(value)}
-    return out | {re.sub(r"[^a-z]", "", v.lower()) for v in value.split()}
+def _names(value: str) -> tuple[set[str], set[str]]:
+    """The whole names and the words that they are made of."""
+    return {re.sub(r"[^a-z]", "", v.lower()) for v in value.split()}, {w.lower() for w in _WORDS.findall(value)}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "link")
+    """An open element; against: the cost that tags and names put on calling its text content; good: how surely it is the article."""
+
+    __slots__ = ("tag", "parent", "depth", "against", "good", "link")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.bad = parent.bad if parent else False
+        self.against = parent.against if parent else 0
         self.good = parent.good if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
-        if tag in _DROP_TAGS:
-            self.bad = True
-        elif tag == "header" and not self.good:
-            self.bad = True
+        if tag in _DROP_TAGS or tag == "header" and not self.good:
+            self.against = _MARKED
         elif tag in ("article", "main"):
             self.good = max(self.good, 2)
-        if attrs:
-            for m in _ATTR.finditer(attrs):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if key in ("class", "id"):
-                    words = _name_words(value)
-                    marked = words & _BAD
-                    # the frame of a page may be named after what it can hold: body class="has-sidebar"
-                    if marked and tag not in ("html", "body", "article", "main") and not words & {"with", "has", "no"}:
-                        self.bad = True
-                    elif words & _GOOD and not marked:
-                        self.good = max(self.good, 1)
-                elif key == "role":
-                    if value.lower() in _DROP_ROLES:
-                        self.bad = True
-                    elif value.lower() in ("main", "article"):
-                        self.good = max(self.good, 2)
-                elif key == "hidden" or key == "aria-hidden" and value == "true":
-                    self.bad = True
-                elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    self.bad = True
-                elif key == "itemprop" and value.lower() == "articlebody":
+        for m in _ATTR.finditer(attrs):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id"):
+                whole, parts = _names(value)
+                cost = max(c[0] if whole & names else c[1] if parts & names else 0 for names, c in ((_BAD, _NAMED), (_DOUBTFUL, _DOUBTED)))
+                # the frame of a page may be named after what it can hold: body class="has-sidebar"
+                if cost and tag not in ("html", "body", "article", "main") and not parts & {"with", "has", "no"}:
+                    self.against = max(self.against, cost)
+                elif (whole | parts) & _GOOD and not cost:
+                    self.good = max(self.good, 1)
+            elif key == "role":
+                if value.lower() in _DROP_ROLES:
+                    self.against = _MARKED
+                elif value.lower() in ("main", "article"):
                     self.good = max(self.good, 2)
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                self.against = _MARKED
+            elif key == "itemprop" and value.lower() == "articlebody":
+                self.good = max(self.good, 2)
 
 
 class Block:
@@ -156,7 +158,7 @@ def scan(page: str) -> list[Block]:
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)
             at = n if not end else end.start()
-            if tag not in ("textarea", "select", "canvas", "svg", "math"):
+            if tag not in ("textarea", "select", "canvas", "svg"):
                 block = block if tag in ("script", "style", "template") else None
             close = page.find(">", at) if end else -1
             at = n if close < 0 else close + 1
@@ -190,9 +192,7 @@ def costs(element: _Element, chars: int, linked: int, words: int, stops: int, be
     best is the strongest mark of an article on the page: beside a marked
     article, unmarked text is likelier boilerplate.
     """
-    if element.bad:
-        return 0, _HARD
-    keep, drop = 10, 6 + 40 * (best - element.good)
+    keep, drop = 10, 6 + 40 * (best - element.good) + element.against
     drop += 60 if notice and words < 30 and not element.good else 0
     keep += 40 * element.good
     share = linked / max(chars, 1)
@@ -270,7 +270,7 @@ def label(blocks: list[tuple[Block, str]]) -> list[bool]:
     of = []
     for k, (b, _) in enumerate(blocks):
         e = b.element
-        home = e.parent if e.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th", "tr", "blockquote", "pre") and e.parent and e.bad == e.parent.bad else e
+        home = e.parent if e.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th", "tr", "blockquote", "pre") and e.parent and e.against == e.parent.against else e
         key = id(home)
         if key not in seen:
             seen[key] = len(nodes)
@@ -278,7 +278,7 @@ def label(blocks: list[tuple[Block, str]]) -> list[bool]:
         of.append(seen[key])
         nodes[seen[key]][1].append(k)
     keep, drop = [], []
-    best = max((e.good for e, _ in nodes if not e.bad), default=0)
+    best = max((e.good for e, _ in nodes if not e.against), default=0)
     for e, members in nodes:
         texts = [blocks[k][1] for k in members]
         joined = sum(map(len, texts))
@@ -286,13 +286,24 @@ def label(blocks: list[tuple[Block, str]]) -> list[bool]:
         keep.append(kp)
         drop.append(dp)
     edges: dict[tuple[int, int], int] = {}
-    for a, b in zip(of[:-1], of[1:], strict=True):
+
+    def tie(a: int, b: int, capacity: int) -> None:
         if a != b:
-            ea, eb = nodes[a][0], nodes[b][0]
-            if ea.bad != eb.bad:
-                continue
-            near = _distance(ea, eb)
-            edges[min(a, b), max(a, b)] = 12 if near <= 2 else 6 if near <= 4 else 2
+            key = min(a, b), max(a, b)
+            edges[key] = max(edges.get(key, 0), capacity)
+
+    for a, b in zip(of[:-1], of[1:], strict=True):
+        near = _distance(nodes[a][0], nodes[b][0])
+        tie(a, b, 12 if near <= 2 else 6 if near <= 4 else 2)
+    # siblings and a parent's own text, over whatever marked block stands between them
+    last: dict[int, int] = {}
+    for k, (e, _) in enumerate(nodes):
+        if not e.against:
+            for around in (e, e.parent):
+                if around is not None and around.parent is not None:
+                    if id(around) in last:
+                        tie(last[id(around)], k, 8)
+                    last[id(around)] = k
     side = min_cut(keep, drop, edges)
     return [side[i] for i in of]
 
