@@ -100,6 +100,24 @@ def test_decontamination_against_brute_force(spark):
         got = decontaminate.digest(decontaminate.find_contamination(df, b, slice_words=slice_words))
         assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
     assert {r.doc_id for r in decontaminate.remove_contaminated(df, b).collect()} == {d for d, x in want.items() if not x[4]}
+    # the longest match of each pair of places, with the places
+    plain, longest = dict(items), collections.defaultdict(set)
+    for d, t in docs:
+        w = split(t)
+        for i, text in items:
+            v = split(text)
+            k = min(10, len(v))
+            for a in range(len(w) - k + 1) if k else ():
+                for p in range(len(v) - k + 1):
+                    if w[a : a + k] == v[p : p + k] and not (a and p and w[a - 1] == v[p - 1] and w[a - 1 : a - 1 + k] == v[p - 1 : p - 1 + k]):
+                        n = k
+                        while a + n < len(w) and p + n < len(v) and w[a + n] == v[p + n]:
+                            n += 1
+                        longest[d].add((a, a + n, str(i) if i is not None else None, p))
+    assert len(plain) and {r.doc_id: {tuple(m) for m in r.matches} for r in decontaminate.find_contamination(df, b).collect()} == {d: longest[d] for d, _ in docs}
+    # rows are judged by text: without ids, and with one id on a clean and a contaminated row
+    mixed = spark.createDataFrame([(None, docs[0][1]), (None, "clean"), (7, docs[0][1]), (7, "clean too")], "doc_id long, text string")
+    assert sorted(r.text for r in decontaminate.remove_contaminated(mixed, b).collect()) == ["clean", "clean too"]
 
 
 def test_line_dedup_against_brute_force(spark):
