@@ -15,13 +15,13 @@
    score distribution, a segment of score S in a text of n tokens has
    expectation K n exp(-lambda S). A segment is significant if that is at
    most ``MAX_EXPECT``. A document's statistics are its largest normalised
-   segment, the log expectation of that segment, the sum over its significant
-   segments, and their number; logistic regression on the training rows maps
-   them to a probability.
+   segment, the log expectation of that segment, and of its significant
+   segments the sum, the number and the number of different strong words in
+   them; logistic regression on the training rows maps them to a probability.
 
 Fitting uses at most ``train_rows`` labelled rows outside the held-out fold.
 Every whole text is scored. Null texts are empty; an empty text has no segment
-and gets the intercept's score. Without usable labels every score is 0.5.
+and gets the intercept's score. Without usable labels every score is 0.
 Extra columns are ignored; repeated rows are scored each.
 """
 
@@ -159,20 +159,20 @@ def evidence(col: pa.Array, score: np.ndarray, lam: float, k: float) -> tuple[np
     bucket, row, starts, ends, off = tokens(col)
     n = np.bincount(row, minlength=len(col))
     stats = np.zeros((len(col), STATS))
-    strong = np.flatnonzero(score[bucket].max(1) >= STRONG) if len(bucket) else np.zeros(0, np.int64)
-    words = np.unique((row[strong].astype(np.int64) << TOKEN_BITS) | bucket[strong, 0]) >> TOKEN_BITS
-    stats[:, 4] = np.log1p(np.bincount(words, minlength=len(col)))
+    strong = score[bucket].max(1) >= STRONG if len(bucket) else np.zeros(0, bool)
     spots: list[list[tuple[int, int, float]]] = [[] for _ in range(len(col))]
     for r, segments in passages(bucket, row, score).items():
         size = np.log(max(k * n[r], 1.0))
         best, held = 0.0, 0.0
+        words: set[int] = set()
         for a, b, s in segments:
             bits = lam * s
             best = max(best, bits)
             if size - bits <= np.log(MAX_EXPECT):
                 held += bits - size
+                words.update(bucket[a : b + 1, 0][strong[a : b + 1]].tolist())
                 spots[r].append((int(starts[a] - off[r]), int(ends[b] - off[r]), float(np.exp(size - bits))))
-        stats[r, :4] = min(best, 40) / 10, min(max(best - size, -10.0), 30) / 10, min(np.log1p(held), 6) / 3, np.log1p(len(spots[r]))
+        stats[r] = min(best, 40) / 10, min(max(best - size, -10.0), 30) / 10, min(np.log1p(held), 6) / 3, np.log1p(len(spots[r])), np.log1p(len(words))
     return stats, spots
 
 
@@ -276,12 +276,11 @@ class ToxicityModel:
                 col = tb.texts(b, "text")
                 for lo, hi in tb.blocks(col):
                     if weights is None:
-                        p, spots = np.full(hi - lo, 0.5), [[] for _ in range(hi - lo)]
+                        p, spots = np.zeros(hi - lo), [[] for _ in range(hi - lo)]
                     else:
                         p, spots = probabilities(col.slice(lo, hi - lo), score, lam, k, weights)
                     found = [[{"first": a, "end": e, "expect": v} for a, e, v in s] for s in spots]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array(found, spot)], names=["doc_id", "score", "passages"])
 
         out = src.mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<first:long,end:long,expect:double>>")
-        cut = threshold if self.weights is not None else 2.0
-        return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "passages")
+        return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
