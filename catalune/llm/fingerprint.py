@@ -50,13 +50,12 @@ def _draws(h: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     r = np.log(part(x, 0) * part(x, 1))
     np.negative(r, out=r)
     b = part(x, 2)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    fine = (x.view(np.uint32)[:, 1::2] >> np.uint32(8)).astype(np.float32)
+    x = tb.mix(x)  # c has uniforms of its own: it must not depend on r
+    fine = (x.view(np.uint32) >> np.uint32(8)).astype(np.float32)
     fine += half
     fine *= np.float32(2.0**-24)
-    c = np.log(fine) + np.log(part(x, 1))
-    return r, np.log(-c), b
+    np.log(fine, out=fine)
+    return r, np.log(-(fine[:, 0::2] + fine[:, 1::2])), b
 
 
 def _packed(value: np.ndarray, term: np.ndarray, t: np.ndarray) -> np.ndarray:
