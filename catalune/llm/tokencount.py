@@ -73,7 +73,7 @@ def lengths(tokenizer, values: list[str | None]) -> list[int]:
         for part in split_safely(text):
             owners.append(i)
             parts.append(part)
-            held += len(part)
+            held += len(part.encode())
             if held >= CALL_BYTES:
                 flush()
                 held = 0
