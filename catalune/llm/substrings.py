@@ -22,8 +22,13 @@ first dealt into shards that no match crosses:
    member, level by level). Strings equal to full length form a class, of
    which all but the earliest are repeats.
 
-An anchor with more than ``HOT`` contexts is not sorted in one task: its
-strings are hashed and dealt by that hash, and settled as in step 2.
+An anchor with more than ``HOT`` contexts is not sorted in one task's memory:
+its strings are dealt by their first, middle and last 8 bytes and sorted by
+their bytes on disk, as part of Spark's sort; the result is the same.
+
+Equal contexts in step 2 are those of equal anchor and context hash, 128 bits
+together; strings in step 3 compare by their bytes. Texts that share an id are
+told apart by 43 bits of a hash.
 
 Null texts are empty. A null id counts as the smallest. Rows of equal id are
 one document, as "earlier" is defined on (doc_id, start): equal rows do not
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblock as tb
@@ -129,82 +134,133 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row, start - offsets[row], count, anchor - start, h[anchor], context
 
 
-def repeated(group: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """True where an equal ``group`` value has a smaller ``order`` rank (ties in rank are not smaller)."""
-    by = np.lexsort((order, group))
-    g, o = group[by], order[by]
-    first = np.ones(len(g), bool)
-    first[1:] = g[1:] != g[:-1]
-    least = o[np.flatnonzero(first)][np.cumsum(first) - 1] if len(g) else o
-    out = np.zeros(len(g), bool)
-    out[by] = o > least
+def repeated(order: np.ndarray, *group: np.ndarray) -> np.ndarray:
+    """True where an equal ``group`` has a smaller ``order`` rank (ties in rank are not smaller)."""
+    if not len(order):
+        return np.zeros(0, bool)
+    by = np.lexsort((order, *group))
+    o = order[by]
+    first = np.ones(len(by), bool)
+    first[1:] = np.any([g[by][1:] != g[by][:-1] for g in group], axis=0)
+    out = np.zeros(len(by), bool)
+    out[by] = o > o[np.flatnonzero(first)][np.cumsum(first) - 1]
     return out
 
 
-def equal_classes(chars: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
-    """Class numbers of the rows of ``chars`` (rows, length) within their groups; rows alone may get -1 instead of a class.
+def multikey_quicksort(keys: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, tie) of the rows of ``keys`` (rows, characters) that equal another of their ``tie`` in all characters.
 
-    Deep-shallow sorting: refinement by 8-byte characters to ``shallow`` bytes,
-    then blind tries on the tied rest.
+    Three-way partitioning of all segments at once: each round splits every
+    segment at the median of three of its characters into less, equal and more;
+    the equal part goes on with the next character. Segments of one are done.
+    """
+    at = np.argsort(tie, kind="stable")
+    seg = tie[at]
+    depth = np.zeros(len(at), np.int64)
+    done_at, done_size = [], []
+    while len(at):
+        head = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+        size = np.diff(np.append(head, len(at)))
+        many = size > 1
+        full = many & (depth[head] == keys.shape[1])
+        if full.any():
+            done_at.append(at[np.repeat(full, size)])
+            done_size.append(size[full])
+        go = many & ~full
+        if not go.any():
+            break
+        stay = np.repeat(go, size)
+        at, depth, size = at[stay], depth[stay], size[go]
+        head = np.cumsum(size) - size
+        c = keys[at, depth]
+        x, y, z = c[head], c[head + size // 2], c[head + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        place = np.zeros(len(at), np.int64)
+        base = head.copy()
+        number = np.zeros(len(at), np.int64)
+        for k, part in enumerate((c < pivot, c == pivot, c > pivot)):
+            before = np.cumsum(part) - part
+            inside = before - np.repeat(before[head], size)
+            place += np.where(part, np.repeat(base, size) + inside, 0)
+            base += np.add.reduceat(part, head, dtype=np.int64)
+            number[part] = k
+        seg = np.empty(len(at), np.int64)
+        seg[place] = np.repeat(np.arange(len(head)) * 3, size) + number
+        depth[number == 1] += 1
+        was, was_depth = at, depth
+        at, depth = np.empty_like(was), np.empty_like(was_depth)
+        at[place], depth[place] = was, was_depth
+    if not done_at:
+        none = np.zeros(0, np.int64)
+        return none, none
+    sizes = np.concatenate(done_size)
+    return np.concatenate(done_at), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def blind_tries(chars: np.ndarray, live: np.ndarray, tie: np.ndarray, out: np.ndarray) -> None:
+    """Numbers the classes of equal rows of ``chars`` among the members of each tie, in ``out``.
+
+    One comparison with a leader gives the branching byte of each other member;
+    members that branch at the same byte to the same value go on together.
     """
-    m = len(chars)
-    out = np.full(m, -1, np.int64)
-    live, tie = np.arange(m), np.unique(group, return_inverse=True)[1]
-
-    def refine(live: np.ndarray, tie: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        by = np.lexsort((key, tie))
-        live, tie, key = live[by], tie[by], key[by]
-        new = np.ones(len(live), bool)
-        new[1:] = (tie[1:] != tie[:-1]) | (key[1:] != key[:-1])
-        number = np.cumsum(new) - 1
-        alone = np.bincount(number)[number] == 1 if len(number) else np.zeros(0, bool)
-        return live[~alone], number[~alone]
-
-    live, tie = refine(live, tie, np.zeros(m, np.uint64))
-    for depth in range(0, shallow, 8):  # multikey quicksort, 8 bytes a character
-        if not len(live):
-            return out
-        live, tie = refine(live, tie, np.ascontiguousarray(chars[live, depth : depth + 8]).view(">u8")[:, 0].astype(np.uint64))
     fresh = 0
-    while len(live):  # blind tries, a level at a time
+    while len(live):
         by = np.argsort(tie, kind="stable")
         live, tie = live[by], tie[by]
-        head = np.flatnonzero(np.concatenate(([True], tie[1:] != tie[:-1])))
+        new = np.concatenate(([True], tie[1:] != tie[:-1]))
+        head = np.flatnonzero(new)
         leader = np.repeat(live[head], np.diff(np.append(head, len(live))))
-        differs = chars[live, shallow:length] != chars[leader, shallow:length]
+        differs = chars[live] != chars[leader]
         branch = np.where(differs.any(1), differs.argmax(1), -1)
         same = branch < 0  # equal to the leader in full: the leader's class
-        number = np.cumsum(np.concatenate(([True], tie[1:] != tie[:-1]))) - 1 + fresh
-        out[live[same]] = number[same]
-        fresh = int(number[-1]) + 1
-        rest = ~same
-        byte = chars[live[rest], shallow + branch[rest]].astype(np.uint64)
-        live, tie = refine(live[rest], tie[rest], (branch[rest].astype(np.uint64) << np.uint64(8)) | byte)
+        number = np.cumsum(new) - 1
+        out[live[same]] = number[same] + fresh
+        fresh += len(head)
+        rest = np.flatnonzero(~same)
+        edge = (number[rest] * 256 + branch[rest]) * 256 + chars[live[rest], branch[rest]]
+        live, tie = live[rest], np.unique(edge, return_inverse=True)[1]
+
+
+def equal_classes(chars: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
+    """Class numbers of the rows of ``chars`` (rows, length) within their groups; rows alone may get -1 instead of a class.
+
+    Deep-shallow sorting: multikey quicksort on 8-byte characters to
+    ``shallow`` bytes, then blind tries on what is still tied.
+    """
+    out = np.full(len(chars), -1, np.int64)
+    tie = np.unique(group, return_inverse=True)[1]
+    keys = np.ascontiguousarray(chars[:, :shallow]).view(">u8").astype(np.uint64)
+    live, tie = multikey_quicksort(keys, tie)
+    blind_tries(chars[:, shallow:length], live, tie, out)
     return out
 
 
 def _pack(start, count, offset, mark):
-    """start (34 bits), strings (8), anchor offset (8), mark of the text (13) in one integer."""
-    return (start << 29) | (count << 21) | (offset << 13) | mark
+    """start (34 bits), strings (8), anchor offset (8), the low bits of the text's mark (13) in one integer."""
+    return (start << 29) | (count << 21) | (offset << 13) | (mark & 0x1FFF)
 
 
 def _unpack(meta: np.ndarray) -> tuple[np.ndarray, ...]:
-    return meta >> 29, (meta >> 21) & 0xFF, (meta >> 13) & 0xFF, meta & 0x1FFF
+    return meta >> 29, (meta >> 21) & 0xFF, (meta >> 13) & 0xFF
+
+
+def _mark(tag, meta):
+    return (tag.astype(np.int64) >> 1 << 13) | (meta & 0x1FFF)
 
 
-_TUPLES = "kind int, anchor long, context long, id long, meta long"
-_NAMES = ["kind", "anchor", "context", "id", "meta"]
-_OPEN, _GONE = 0, 1
+_TUPLES = "tag int, anchor long, context long, id long, meta long"
+_NAMES = ["tag", "anchor", "context", "id", "meta"]
+_GONE = 1  # the low bit of a tag; the others are the high bits of the text's mark
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(id, mark, text): id never null; mark tells texts of one id apart."""
+    """(id, mark, text): id never null; mark (43 bits) tells texts of one id apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(8191)).alias("mark"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 43) - 1)).alias("mark"), text.alias("text"))
 
 
-def _tuple_batch(kind: np.ndarray, anchor: np.ndarray, context: np.ndarray, ids: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array(meta, pa.int64())], names=_NAMES)
+def _tuple_batch(tag: np.ndarray, anchor: np.ndarray, context: np.ndarray, ids: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tag.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids, pa.int64()), pa.array(meta, pa.int64())], names=_NAMES)
 
 
 def _settled(anchor: np.ndarray, context: np.ndarray, ids: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -212,7 +268,7 @@ def _settled(anchor: np.ndarray, context: np.ndarray, ids: np.ndarray, meta: np.
     rank = np.lexsort((meta >> 29, ids))
     order = np.empty(len(ids), np.int64)
     order[rank] = np.cumsum(np.concatenate(([False], (ids[rank][1:] != ids[rank][:-1]) | (meta[rank][1:] >> 29 != meta[rank][:-1] >> 29)))) if len(ids) else 0
-    return repeated(tb.mix(anchor ^ tb.mix(context)), order)
+    return repeated(order, context, anchor)
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -225,10 +281,11 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for lo, hi in tb.blocks(col, BLOCK):
                 data, off = tb.flat(col.slice(lo, hi - lo))
                 row, start, count, offset, anchor, context = anchors(data, off, length, gram)
-                own, meta = ids[lo:hi][row], _pack(start, count, offset, marks[lo:hi][row])
+                own, mark = ids[lo:hi][row], marks[lo:hi][row]
+                meta = _pack(start, count, offset, mark)
                 gone = _settled(anchor, context, own, meta)
                 anchor = np.where(gone, tb.mix(context ^ own.view(np.uint64)), anchor)  # deal what is settled evenly
-                yield _tuple_batch(gone, anchor, context, own, meta)
+                yield _tuple_batch((mark >> 13 << 1) | gone, anchor, context, own, meta)
 
     return _rows(docs).select("id", "mark", "text").mapInArrow(run, _TUPLES)
 
@@ -247,12 +304,12 @@ def settle(tuples: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            kind, anchor, context, ids, meta = (b.column(i).to_numpy() for i in range(5))
-            passed = kind == _GONE
+            tag, anchor, context, ids, meta = (b.column(i).to_numpy() for i in range(5))
+            passed = (tag & _GONE) == _GONE
             opened = np.flatnonzero(~passed)
-            a, c, i, m = anchor[opened], context[opened], ids[opened], meta[opened]
+            g, a, c, i, m = tag[opened], anchor[opened], context[opened], ids[opened], meta[opened]
             if not len(a):
-                yield _tuple_batch(kind, anchor, context, ids, meta)
+                yield _tuple_batch(tag, anchor, context, ids, meta)
                 continue
             new_a = np.ones(len(a), bool)
             new_c = np.ones(len(a), bool)
@@ -273,49 +330,57 @@ def settle(tuples: DataFrame) -> DataFrame:
             more = np.zeros(len(heads), bool)
             more[:-1] = ~first_of_anchor[1:]
             emit = heads[~first_of_anchor | more]
-            parts = [_tuple_batch(kind[passed], anchor[passed], context[passed], ids[passed], meta[passed]), _tuple_batch(np.full(int(gone.sum()), _GONE), a[gone], c[gone], i[gone], m[gone]), _tuple_batch(np.full(len(emit), _OPEN), a[emit], c[emit], i[emit], m[emit])]
+            parts = [_tuple_batch(tag[passed], anchor[passed], context[passed], ids[passed], meta[passed]), _tuple_batch(g[gone] | _GONE, a[gone], c[gone], i[gone], m[gone]), _tuple_batch(g[emit], a[emit], c[emit], i[emit], m[emit])]
             if held is not None and len(heads) and not first_of_anchor[0]:
-                parts.append(_tuple_batch(np.array([_OPEN]), *(np.array([v]) for v in held)))
+                parts.append(_tuple_batch(*(np.array([v]) for v in held)))
                 held = None
             elif held is not None and len(heads):
                 held = None
             if len(heads) and first_of_anchor[-1]:
                 k = heads[-1]
-                held = (a[k], c[k], i[k], m[k])
+                held = (g[k], a[k], c[k], i[k], m[k])
             last = (a[-1], c[-1], fid[-1], fst[-1])
             yield from (p for p in parts if p.num_rows)
 
     return dealt.mapInArrow(run, _TUPLES)
 
 
+def _text_key(mark) -> Column:
+    return F.xxhash64("id", mark)
+
+
+def _mark_column() -> Column:
+    return F.shiftleft(F.shiftright("tag", 1).cast("long"), 13).bitwiseOR(F.col("meta").bitwiseAND(F.lit(0x1FFF)))
+
+
 def contexts(rows: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """(anchor, id, meta, bytes) of open occurrences, read from the texts."""
-    spot = F.struct(F.col("anchor"), F.col("meta"))
-    wanted = opened.groupBy(F.xxhash64("id", (F.col("meta").bitwiseAND(F.lit(0x1FFF))).alias("mark")).alias("key")).agg(F.collect_list(spot).alias("spots"))
+    """(anchor, id, tag, meta, bytes) of open occurrences, read from the texts."""
+    wanted = opened.groupBy(_text_key(_mark_column()).alias("key")).agg(F.collect_list(F.struct("anchor", "tag", "meta")).alias("spots"))
     joined = rows.join(wanted, "key").select("id", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 64):
                 part = b.slice(a, 64)
-                out: list[list] = [[], [], [], []]
-                for i, text, spots in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    raw = text.encode()
-                    flat = spots.values
-                    for anchor, meta in zip(flat.field("anchor").to_pylist(), flat.field("meta").to_pylist(), strict=True):
-                        start, count = meta >> 29, (meta >> 21) & 0xFF
-                        out[0].append(anchor)
-                        out[1].append(i)
-                        out[2].append(meta)
-                        out[3].append(raw[start : start + count - 1 + length])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["anchor", "id", "meta", "bytes"])
-
-    return joined.mapInArrow(run, "anchor long, id long, meta long, bytes binary")
-
-
-def sort_shard(anchor: np.ndarray, ids: np.ndarray, meta: np.ndarray, raw: list[bytes], length: int, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+                ids, raws = [], []
+                flat = part.column(2).flatten()
+                of = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
+                texts = [t.encode() for t in part.column(1).to_pylist()]
+                own = part.column(0).to_pylist()
+                meta = flat.field("meta").to_numpy()
+                start, count, _ = _unpack(meta)
+                for row, at, end in zip(of.tolist(), start.tolist(), (start + count - 1 + length).tolist(), strict=True):
+                    ids.append(own[row])
+                    raws.append(texts[row][at:end])
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(ids, pa.int64()), flat.field("tag"), flat.field("meta"), pa.array(raws, pa.binary())], names=["anchor", "id", "tag", "meta", "bytes"])
+
+    return joined.mapInArrow(run, "anchor long, id long, tag int, meta long, bytes binary")
+
+
+def sort_shard(anchor: np.ndarray, ids: np.ndarray, tag: np.ndarray, meta: np.ndarray, raw: list[bytes], length: int, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(id, mark, first byte, end byte) of the repeated strings of whole anchors, merged where they overlap."""
-    start, count, offset, mark = _unpack(meta)
+    start, count, offset = _unpack(meta)
+    mark = _mark(tag, meta)
     size = np.array([len(x) for x in raw], np.int64)
     base = np.cumsum(size) - size
     data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
@@ -344,7 +409,7 @@ def sort_shard(anchor: np.ndarray, ids: np.ndarray, meta: np.ndarray, raw: list[
             value = np.empty(len(w), np.int64)
             changes = (wid[rank][1:] != wid[rank][:-1]) | (ws[rank][1:] != ws[rank][:-1])
             value[rank] = np.concatenate(([0], np.cumsum(changes)))
-            found[w[repeated(cls[tied], value)]] = True
+            found[w[repeated(value, cls[tied])]] = True
         a = b
     hit = np.flatnonzero(found)
     if not len(hit):
@@ -367,7 +432,7 @@ def sort_shards(found: DataFrame, length: int, shallow: int) -> DataFrame:
         bytes_held = 0
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            got = sort_shard(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist(), length, shallow)
+            got = sort_shard(*(t.column(k).to_numpy() for k in range(4)), t.column(4).to_pylist(), length, shallow)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["id", "mark", "first", "end"])
 
         for b in batches:
@@ -389,27 +454,40 @@ def sort_shards(found: DataFrame, length: int, shallow: int) -> DataFrame:
     return dealt.mapInArrow(run, "id long, mark long, first long, end long")
 
 
-def hashed_strings(found: DataFrame, length: int) -> DataFrame:
-    """Tuples with one string each, for anchors with too many contexts to sort in a task."""
+def sort_strings(found: DataFrame, length: int) -> DataFrame:
+    """(id, mark, first, end) of repeated strings, for anchors with too many contexts to sort in a task's memory."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 4096):
-                part = b.slice(a, 4096)
-                meta = part.column(2).to_numpy()
-                start, count, offset, mark = _unpack(meta)
-                data, off = tb.flat(part.column(3).cast(pa.large_binary()))
-                owner = np.repeat(np.arange(len(meta)), count)
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                start, count, _ = _unpack(part.column(3).to_numpy())
+                owner = np.repeat(np.arange(part.num_rows), count)
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                h = tb.span_hashes(data, off[owner] + k, off[owner] + k + length)
-                ids = part.column(1).to_numpy()[owner]
-                m = _pack(start[owner] + k, np.ones(len(owner), np.int64), np.zeros(len(owner), np.int64), mark[owner])
-                context = tb.mix(h ^ part.column(0).to_numpy()[owner].view(np.uint64))
-                gone = _settled(h, context, ids, m)
-                yield _tuple_batch(gone, h, context, ids, m)
+                raw = part.column(4).to_pylist()
+                strings = [raw[o][j : j + length] for o, j in zip(owner.tolist(), k.tolist(), strict=True)]
+                mark = _mark(part.column(2).to_numpy(), part.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(part.column(1).to_numpy()[owner]), pa.array(mark[owner]), pa.array(start[owner] + k)], names=["bytes", "id", "mark", "first"])
 
-    return found.mapInArrow(run, _TUPLES)
+    strings = found.mapInArrow(split, "bytes binary, id long, mark long, first long")
+    middle = length // 2 - 4
+    ends = [F.substring("bytes", at, 8) for at in (1, middle + 1, length - 7)]
+    dealt = strings.repartition(*ends).sortWithinPartitions("bytes", "id", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # bytes, id and start of the current class's first string
+        for b in batches:
+            keep = []
+            for n, (raw, i, at) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if last is None or raw != last[0]:
+                    last = raw, i, at
+                elif (i, at) != last[1:]:
+                    keep.append(n)
+            got = b.take(pa.array(keep, pa.int64()))
+            first = got.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([got.column(1), got.column(2), got.column(3), pa.array(first + length)], names=["id", "mark", "first", "end"])
 
+    return dealt.mapInArrow(run, "id long, mark long, first long, end long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shallow: int = SHALLOW, hot: int = HOT) -> DataFrame:
@@ -418,20 +496,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shal
     if not 8 <= gram <= length or length > 255 or shallow % 8 or shallow > length:
         raise ValueError("need 8 <= gram <= length <= 255 and shallow a multiple of 8 up to length")
     settled = written(spark, settle(anchor_rows(docs, length, gram)), "repeats")
-
-    def gone(df: DataFrame) -> DataFrame:
-        start = F.shiftright("meta", 29)
-        count = F.shiftright("meta", 21).bitwiseAND(F.lit(0xFF))
-        return df.where(F.col("kind") == _GONE).select("id", F.col("meta").bitwiseAND(F.lit(0x1FFF)).alias("mark"), start.alias("first"), (start + count - 1 + length).alias("end"))
-
-    opened = settled.where(F.col("kind") == _OPEN)
-    rows = _rows(docs).select(F.xxhash64("id", "mark").alias("key"), "id", "mark", "text").repartition("key")
+    start = F.shiftright("meta", 29)
+    count = F.shiftright("meta", 21).bitwiseAND(F.lit(0xFF))
+    is_gone = F.col("tag").bitwiseAND(F.lit(_GONE)) == _GONE
+    spans = settled.where(is_gone).select("id", _mark_column().alias("mark"), start.alias("first"), (start + count - 1 + length).alias("end"))
+    opened = settled.where(~is_gone)
+    rows = _rows(docs).select(_text_key("mark").alias("key"), "id", "mark", "text").repartition("key")
     many = opened.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    spans = gone(settled).unionByName(sort_shards(contexts(rows, opened.join(many, "anchor", "left_anti"), length), length, shallow))
+    spans = spans.unionByName(sort_shards(contexts(rows, opened.join(many, "anchor", "left_anti"), length), length, shallow))
     if many.limit(1).count():
-        strings = settle(hashed_strings(contexts(rows, opened.join(many, "anchor", "left_semi"), length), length))
-        spans = spans.unionByName(gone(strings))
-    listed = spans.groupBy(F.xxhash64("id", "mark").alias("key")).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+        spans = spans.unionByName(sort_strings(contexts(rows, opened.join(many, "anchor", "left_semi"), length), length))
+    listed = spans.groupBy(_text_key("mark").alias("key")).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     return rows.join(listed, "key", "left")
 
 

@@ -14,27 +14,35 @@ from catalune.llm import queries as Q
 DATA = "/root/testdata/sf0.001"
 
 
-def test_substrings_against_brute_force(spark):
-    rng = random.Random(1)
-    base = ["".join(rng.choice("ab") for _ in range(200)) for _ in range(6)]
-    rows = [(rng.choice([i, i, 5]), "".join(x[a : a + rng.randrange(150)] for x in rng.sample(base, 2) for a in [rng.randrange(100)])) for i in range(30)]
-    rows.append(rows[0])
+def _without_repeats(rows, n):
     first = {}
     for d, t in rows:
-        for i in range(len(t) - 31):
-            first[t[i : i + 32]] = min(first.get(t[i : i + 32], (1 << 60, 0)), (d, i))
+        for i in range(len(t) - n + 1):
+            first[t[i : i + n]] = min(first.get(t[i : i + n], (1 << 60, 0)), (d, i))
     want = collections.Counter()
     for d, t in rows:
         gone = bytearray(len(t))
-        for i in range(len(t) - 31):
-            if first[t[i : i + 32]] < (d, i):
-                gone[i : i + 32] = b"\1" * 32
+        for i in range(len(t) - n + 1):
+            if first[t[i : i + n]] < (d, i):
+                gone[i : i + n] = b"\1" * n
         kept = "".join(c for c, g in zip(t, gone, strict=True) if not g)
         runs = sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1]))
         want[d, len(t), sum(gone), runs, hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return want
+
+
+@pytest.mark.parametrize("length, gram, shallow, base_size", [(32, 8, 16, 200), (100, 32, 32, 600)])
+def test_substrings_against_brute_force(spark, length, gram, shallow, base_size):
+    rng = random.Random(1)
+    base = ["".join(rng.choice("ab" if length < 50 else "abcdefgh ") for _ in range(base_size)) for _ in range(6)]
+    rows = [(rng.choice([i, i, 5]), "".join(x[a : a + rng.randrange(base_size * 3 // 4)] for x in rng.sample(base, 2) for a in [rng.randrange(base_size // 2)])) for i in range(30)]
+    rows += [(50 + i, base[0][: length + 20] + f"{i} own end {i * 7}") for i in range(8)] + [(60, "z" * 3 * length), (61, base[1] * 2)]
+    rows.append(rows[0])
+    want = _without_repeats(rows, length)
+    assert sum(k[2] for k in want) > 1000
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for hot in (substrings.HOT, 2):
-        got = substrings.dedup_substrings(df, length=32, gram=8, shallow=16, hot=hot)
+        got = substrings.dedup_substrings(df, length=length, gram=gram, shallow=shallow, hot=hot)
         assert collections.Counter(tuple(r) for r in got.collect()) == want
 
 
