@@ -12,6 +12,7 @@ from .decontaminate import digest, find_contamination
 from .fingerprint import compare_edits
 from .htmltext import extract
 from .linededup import dedup_lines
+from .oracles import oracle_sql as oracle_sql
 from .pieces import encode
 from .quality import QualityModel
 from .simhash import near_duplicates
@@ -73,7 +74,3 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_fingerprints, op4_suffix_dedup, op5_simhash, op6_decontamination, op7_token_counts, op8_line_dedup, op9_toxicity, op10_html_extraction)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
