@@ -26,9 +26,9 @@ def compass(deg: Column) -> Column:
 
 
 def floor_label(floor: Column, ground: Column) -> Column:
-    """'' for an unknown floor; the site's name of its ground floor; half floors with M."""
-    whole = F.floor(floor).cast("int").cast("string")
-    return F.when(floor.isNull(), "").when(floor == 0, ground).when(floor != F.floor(floor), F.concat(whole, F.lit("M"))).otherwise(whole)
+    """'' for an unknown floor; the site's name of its ground floor; 1M for the mezzanine at 1.5; else the number."""
+    number = F.when(floor == F.floor(floor), F.floor(floor).cast("string")).otherwise(floor.cast("string"))
+    return F.when(floor.isNull(), "").when(floor == 0, ground).when(floor == 1.5, "1M").otherwise(number)
 
 
 def _pairs(ring: Column) -> Column:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
+SPANS = 1000
+
 
 def upsert_actions(known: DataFrame, on_view: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
     """(id, action): hydrate what is new on view or changed and relevant; tombstone what is known but off view."""
@@ -123,28 +129,42 @@ def read_latest(spark, root: str) -> DataFrame:  # noqa: ANN001
     return spark.read.parquet(f"{root}/v={version}")
 
 
+def side_outputs(df: DataFrame, root: str, parts: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """Writes each part of one snapshot, which is computed once, to a folder of its own; returns what can be read back."""
+    snapshot = written(df, "snapshot")
+    out = {}
+    for name, make in parts.items():
+        made = make(snapshot)
+        made.write.mode("overwrite").parquet(f"{root}/{name}")
+        out[name] = df.sparkSession.read.schema(made.schema).parquet(f"{root}/{name}")
+    return out
+
+
 def evict(files: DataFrame, cap: int, share: float = 0.8) -> DataFrame:
     """The oldest files that must go until ``share`` of the cap is left; none while within the cap. Columns name, bytes, mtime."""
-    from pyspark.sql import Window
-
     total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     if total <= cap:
         return files.limit(0)
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("_before", before).where(F.lit(total) - F.col("_before") > cap * share).drop("_before")
+    # running sums in two levels: over at most SPANS spans of time, then within each
+    first, last = files.agg(F.min("mtime"), F.max("mtime")).first()
+    span = F.floor((F.col("mtime") - first) * SPANS / (last - first + 1))
+    spans = files.groupBy(span.alias("_span")).agg(F.sum("bytes").alias("_own"))
+    spans = spans.select("_span", (F.sum("_own").over(Window.orderBy("_span")) - F.col("_own")).alias("_earlier"))
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("_span").orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = files.withColumn("_span", span).withColumn("_before", inside).join(spans, "_span").withColumn("_before", F.col("_before") + F.col("_earlier"))
+    return out.where(F.lit(total) - F.col("_before") > cap * share).select(files.columns)
 
 
 def isolated(loaders: dict, previous: DataFrame, by: str = "source") -> tuple[DataFrame, dict[str, str]]:
     """Fresh rows of every source that loads, the previous rows of those that fail, and the status of each.
 
-    A loader is a call that returns a DataFrame with the columns of ``previous``; its first row is read, so
-    that a source that cannot be read fails here and alone.
+    A loader is a call that returns a DataFrame with the columns of ``previous``; its rows are written to the
+    shared folder, so that a source that fails at any row fails here and alone.
     """
     out, status = None, {}
     for name, load in loaders.items():
         try:
-            rows = load().select(previous.columns)
-            rows.limit(1).count()
+            rows = written(load().select(previous.columns), "source")
             status[name] = "fresh"
         except Exception as e:  # any failure of one source must not stop the others
             rows = previous.where(F.col(by) == name)

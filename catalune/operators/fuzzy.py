@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as tx
+from .shared import written
 
 ACCEPT = 0.34
 CANDIDATES = 50
@@ -89,6 +90,7 @@ def plan(query: str, post: DataFrame, vocab: DataFrame) -> list[Correction] | No
     Control is on the driver, one decision a token; data stays distributed and
     at most ``KEEP`` rows come back for each token.
     """
+    vocab = written(vocab, "vocabulary")
     grams = vocab_trigrams(vocab)
     out: list[Correction] = []
     for token in tx.query_tokens(query):

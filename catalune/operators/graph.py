@@ -9,29 +9,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-
-
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the cluster's shared folder; a local one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or "/tmp/catalune-checkpoints")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: unlike a checkpoint it carries no constraints on, which double from round to round."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from .shared import discard, written
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -53,9 +37,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the label of that label, so long chains shrink fast; it ends when the sum
     of labels' hashes stays.
     """
-    ensure_checkpoint_dir(nodes)
-    both = symmetric(edges.select("a", "b")).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
+    both = written(symmetric(edges.select("a", "b")).distinct(), "edges")
+    labels = written(nodes.select("id", F.col("id").alias("component")), "labels")
 
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first())
@@ -65,9 +48,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("n"))
         least = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("n", "component")).alias("component"))
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        labels = least.join(jump, "component").select("id", F.col("far").alias("component")).checkpoint()
+        old, labels = labels, written(least.join(jump, "component").select("id", F.col("far").alias("component")), "labels")
+        discard(old)
         after = sign(labels)
         if after == before:
+            discard(both)
             return labels
         before = after
 
@@ -79,20 +64,24 @@ def main_components(labelled: DataFrame, by: list[str]) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(id, dist, hops) from any source, over the whole graph at once: rounds of relaxation from the changed nodes only."""
-    ensure_checkpoint_dir(edges)
-    both = symmetric(edges.select("a", "b", "len")).groupBy("a", "b").agg(F.min("len").alias("len")).checkpoint()
-    best = sources.select("id", F.lit(0.0).alias("dist"), F.lit(0).alias("hops")).checkpoint()
-    front = best
-    for _ in range(max_rounds):
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, dist, hops) from any source, over the whole graph at once: rounds of relaxation from the changed nodes only, until none changes.
+
+    Lengths must not be negative, so it ends after at most as many rounds as the longest shortest path has edges.
+    """
+    both = written(symmetric(edges.select("a", "b", "len")).groupBy("a", "b").agg(F.min("len").alias("len")), "edges")
+    best = front = written(sources.select("id", F.lit(0.0).alias("dist"), F.lit(0).alias("hops")), "best")
+    while True:
         reach = front.join(both, front.id == both.a).groupBy(F.col("b").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("len")).alias("dist"), (F.col("hops") + 1).alias("hops"))).alias("n"))
-        better = reach.join(best.select("id", F.col("dist").alias("old")), "id", "left").where(F.col("old").isNull() | (F.col("n.dist") < F.col("old"))).select("id", "n.dist", "n.hops").checkpoint()
-        if not better.limit(1).count():
-            break
-        best = best.join(better.select("id"), "id", "left_anti").unionByName(better).checkpoint()
+        better = written(reach.join(best.select("id", F.col("dist").alias("old")), "id", "left").where(F.col("old").isNull() | (F.col("n.dist") < F.col("old"))).select("id", "n.dist", "n.hops"), "front")
+        if better.isEmpty():
+            discard(both, better)
+            return best
+        old, best = best, written(best.join(better.select("id"), "id", "left_anti").unionByName(better), "best")
+        discard(old)
+        if front is not old:
+            discard(front)
         front = better
-    return best
 
 
 def dijkstra(adjacent: dict, starts: list, goals: set, avoid: frozenset = frozenset()) -> tuple[list, float] | None:
@@ -178,21 +167,20 @@ def repair(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float, p
     to a node of it within ``distance``; ties go to the smaller id. Labels hold
     within a pass. Pairs and components are found once; then only components merge.
     """
-    ensure_checkpoint_dir(nodes)
-    lab = _cut(components(nodes, edges).join(nodes.select("id", *by), "id"))
-    close = _cut(nearby_pairs(nodes.select("id", "x", "y", *by), by, distance, same=False).select("a", "b", "d"))
+    lab = written(components(nodes, edges).join(nodes.select("id", *by), "id"))
+    close = written(nearby_pairs(nodes.select("id", "x", "y", *by), by, distance, same=False).select("a", "b", "d"))
     out = edges
     for _ in range(passes):
         main = main_components(lab, by).select(*by, F.col("component").alias("_main"))
         side = lab.join(main, by).select("id", "component", (F.col("component") == F.col("_main")).alias("in_main"))
         j = close.join(side.where("not in_main").select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(side.where("in_main").select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-        new = _cut(j.groupBy("a").agg(F.min(F.struct("d", "b", "ca", "cb")).alias("m")).select("a", "m.b", F.col("m.d").alias("len"), "m.ca", "m.cb"))
+        new = written(j.groupBy("a").agg(F.min(F.struct("d", "b", "ca", "cb")).alias("m")).select("a", "m.b", F.col("m.d").alias("len"), "m.ca", "m.cb"))
         if not new.limit(1).count():
             break
         out = out.unionByName(new.select("a", "b", "len", F.lit("bridge").alias("kind")), allowMissingColumns=True)
         ends = new.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         merged = components(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct(), ends)
-        lab = _cut(lab.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"), *by))
+        lab = written(lab.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"), *by))
     return out
 
 
@@ -260,6 +248,27 @@ def cluster_doors(doors: DataFrame, by: list[str], distance: float = 3.0) -> Dat
     return doors.groupBy(*by).applyInPandas(cluster, f"{kinds}, cluster int, x double, y double, members int")
 
 
+def door_edges(doors: DataFrame, spaces: DataFrame, metres_x: float, metres_y: float) -> DataFrame:
+    """(a, b, len, bearing): an edge from each door to the centre of each of its spaces, to 0.1 m and whole degrees.
+
+    doors: (door, lon, lat, space), a row a space; spaces: (space, lon, lat). metres_x and metres_y: metres a degree.
+    """
+    s = spaces.select("space", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    j = doors.join(s, "space")
+    size = geo.haversine(F.col("lat"), F.col("lon"), F.col("_y"), F.col("_x"))
+    turn = geo.bearing((F.col("_x") - F.col("lon")) * metres_x, (F.col("_y") - F.col("lat")) * metres_y)
+    return j.select(F.col("door").alias("a"), F.col("space").alias("b"), (F.floor(size * 10 + 0.5) / 10).alias("len"), F.floor(turn + 0.5).cast("int").alias("bearing"))
+
+
+def walk_edges(doors: DataFrame, metres_x: float, metres_y: float) -> DataFrame:
+    """(a, b, room, len): the straight way between any two doors of a space, to 0.1 m. doors as above; their number a space is the result's size."""
+    m = doors.select("space", "door", (F.col("lon") * metres_x).alias("x"), (F.col("lat") * metres_y).alias("y"))
+    a, b = m.alias("a"), m.alias("b")
+    size = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
+    j = a.join(b, (F.col("a.space") == F.col("b.space")) & (F.col("a.door") < F.col("b.door")))
+    return j.select(F.col("a.door").alias("a"), F.col("b.door").alias("b"), F.col("a.space").alias("room"), (F.floor(size * 10 + 0.5) / 10).alias("len"))
+
+
 def resolve_endpoints(refs: DataFrame, galleries: DataFrame, amenities: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ref, node, via): a reference as a gallery, else an amenity, else a node id, else a legacy alias.
 

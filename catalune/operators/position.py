@@ -112,26 +112,28 @@ def fold_fused(state: Fused, e: Input, decay_ms: int = DECAY_MS) -> tuple[Fused,
 
 @dataclass(frozen=True)
 class Progress:
-    """Place on a route: index of the step reached and the room in which a reroute was asked for."""
+    """Place on a route: index of the step reached and the room in which a reroute was last asked for.
+
+    A room known before the route opened is given as ``off``: it is no new fix and asks for nothing.
+    """
 
     step: int = 0
     off: str | None = None
 
 
 def follow(route: list[str], p: Progress, gallery: str | None) -> tuple[Progress, str]:
-    """One room-level anchor: forward only; one reroute a deviation; back on the route re-arms. Areas (None) change nothing."""
+    """One room-level anchor against a route: advance, reroute or none.
+
+    A room further on than the step reached advances, by its first place on the
+    route. A room that is not on the route asks for a reroute, unless it did so
+    last. Any room on the route re-arms that; areas (None) change nothing.
+    """
     if gallery is None:
         return p, "none"
-    for k in range(p.step, len(route)):
-        if route[k] == gallery:
-            if k == len(route) - 1:
-                return Progress(k), "arrived" if k != p.step or p.off else "none"
-            return Progress(k), "advanced" if k > p.step else "none"
-    if gallery in route[: p.step]:
-        return Progress(p.step), "none"
-    if p.off is not None:
-        return p, "none"
-    return Progress(p.step, gallery), "reroute"
+    if gallery not in route:
+        return replace(p, off=gallery), "none" if p.off == gallery else "reroute"
+    at = route.index(gallery)
+    return (Progress(at), "advance") if at > p.step else (Progress(p.step), "none")
 
 
 def take_token(tokens: float, last: int | None, now: int, per_minute: float, burst: float) -> tuple[float, bool, int]:
@@ -201,17 +203,20 @@ def fold_venues(events: DataFrame, decay_ms: int = DECAY_MS) -> DataFrame:
     return _grouped(events, "key", ["at", "event_id"], f"key {events.schema['key'].dataType.simpleString()}, event_id long, venue string, level string, switched string", step)
 
 
-def route_progress(events: DataFrame, route: list[str]) -> DataFrame:
-    """(key, event_id, step, outcome) of sessions that follow one route; events: (key, event_id, at, gallery)."""
+def route_progress(events: DataFrame, route: list[str], known: str | None = None) -> DataFrame:
+    """(key, event_id, step, outcome) of sessions that follow one route; events: (key, event_id, at, gallery).
 
-    def step(rows: list) -> list:
-        p, out = Progress(), []
-        for r in rows:
-            p, what = follow(route, p, _none(r.gallery))
-            out.append((r.key, r.event_id, p.step, what))
-        return out
-
-    return _grouped(events, "key", ["at", "event_id"], f"key {events.schema['key'].dataType.simpleString()}, event_id long, step int, outcome string", step)
+    ``follow`` as windows: the step is the running maximum of places on the
+    route, and the room that asked for a reroute last is the session's previous
+    room if that one is not on the route. ``known``: the room known before.
+    """
+    w = Window.partitionBy("key").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.array_position(F.array(*map(F.lit, route)), F.col("gallery")).cast("int") - 1
+    before = F.greatest(F.coalesce(F.max(at).over(w), F.lit(0)), F.lit(0))
+    previous = F.coalesce(F.last("gallery", ignorenulls=True).over(w), F.lit(known))
+    out = events.select("key", "event_id", "gallery", at.alias("_at"), before.alias("_before"), previous.alias("_previous"))
+    outcome = F.when(F.col("_at") > F.col("_before"), "advance").when((F.col("_at") < 0) & ~F.col("_previous").eqNullSafe(F.col("gallery")), "reroute").otherwise("none")
+    return out.select("key", "event_id", F.greatest("_before", F.coalesce("_at", F.lit(0))).alias("step"), outcome.alias("outcome"))
 
 
 def rate_limited(requests: DataFrame, per_minute: float, burst: float) -> DataFrame:

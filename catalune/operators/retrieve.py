@@ -8,7 +8,9 @@ subtracted. Every ordering ends with the object id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +24,18 @@ WEIGHTS = {"title": 10.0, "artist": 8.0, "culture": 3.0, "classification": 5.0,
 IDF_FLOOR = 1e-6
 
 
-def postings(objects: DataFrame, weights: dict[str, float], stem: bool = False) -> DataFrame:
+def _matches(words: list[str], prefix: bool) -> Callable[[Column], Column]:
+    """Whether a token is, or begins with, one of the words."""
+    return lambda t: reduce(lambda x, y: x | y, (t.startswith(w) if prefix else t == w for w in words))
+
+
+def postings(objects: DataFrame, weights: dict[str, float], stem: bool = False, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """(objectID, term, tf, len): weighted frequency of each term and the object's length in tokens.
 
     All fields are exploded in one pass; one aggregation, with partial sums
     before its shuffle, gives the postings. The length rides along, so no join
-    is needed for it.
+    is needed for it. ``only``: the tokens wanted; others count for the length
+    but are dropped from the arrays, before they become rows.
     """
 
     def field_tokens(c: str) -> Column:
@@ -36,8 +44,9 @@ def postings(objects: DataFrame, weights: dict[str, float], stem: bool = False)
 
     parts = F.array(*(F.struct(field_tokens(c).alias("words"), F.lit(float(w)).alias("w")) for c, w in weights.items()))
     length = F.aggregate(F.col("parts"), F.lit(0), lambda acc, p: acc + F.size(p["words"]))
-    rows = objects.select("objectID", parts.alias("parts")).select("objectID", length.alias("len"), F.explode("parts").alias("p"))
-    rows = rows.select("objectID", "len", F.col("p.w").alias("w"), F.explode("p.words").alias("term"))
+    rows = objects.select("objectID", parts.alias("parts")).select("objectID", length.alias("len"), F.explode_outer("parts").alias("p"))
+    words = F.filter("p.words", only) if only else F.col("p.words")
+    rows = rows.select("objectID", "len", F.col("p.w").alias("w"), F.explode_outer(words).alias("term")).where("term is not null")
     return rows.groupBy("objectID", "term").agg(F.sum("w").alias("tf"), F.first("len").alias("len"))
 
 
@@ -114,7 +123,7 @@ def search(
     words = list(dict.fromkeys(words))
     if not words:
         return objects.withColumn("score", F.lit(0.0)).limit(0)
-    post = postings(objects, weights, stem) if post is None else post
+    post = postings(objects, weights, stem, only=_matches(words, not relaxed)) if post is None else post
     scored = bm25(post, corpus(objects, weights), words, prefix=not relaxed, every=not relaxed)
     out = objects.join(scored, "objectID")
     if galleries is not None:

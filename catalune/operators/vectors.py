@@ -5,13 +5,16 @@ Products are summed in double. Equal similarities go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
@@ -118,3 +121,45 @@ def needs_embedding(current: DataFrame, index: DataFrame) -> DataFrame:
     """Objects that are new or whose image changed."""
     j = current.join(index.select("objectID", "imageHash"), "objectID", "left")
     return j.where(F.col("imageHash").isNull() | (F.col("imageHash") != F.col("currentHash"))).drop("imageHash")
+
+
+def pack_shards(vectors: DataFrame, size: int, pad: int = 0) -> DataFrame:
+    """(shard, count, dims, ids, data): little-endian float32 rows, ``size`` a shard, by (vec_id, n, embedding) with n numbered from 0.
+
+    ``pad`` rows of zeros follow in the last shard's place, as in a file that was allocated ahead.
+    """
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("n")
+        m = np.stack(p.embedding.to_numpy()).astype("<f4")
+        data = np.vstack([m, np.zeros((pad, m.shape[1]), "<f4")]).tobytes()
+        return pd.DataFrame({"shard": [p.n.iloc[0] // size], "count": [len(p)], "dims": [m.shape[1]], "ids": [p.vec_id.tolist()], "data": [data]})
+
+    own = vectors.select("vec_id", "n", "embedding").withColumn("shard", F.floor(F.col("n") / size))
+    return own.groupBy("shard").applyInPandas(pack, "shard long, count long, dims int, ids array<long>, data binary")
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of packed shards; bytes beyond a shard's count are not read."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                m = np.frombuffer(r.data, "<f4", r.count * r.dims).reshape(r.count, r.dims)
+                yield pd.DataFrame({"vec_id": list(r.ids), "embedding": list(m)})
+
+    return shards.mapInPandas(unpack, "vec_id long, embedding array<float>")
+
+
+def locate(paths: dict[str, Callable[[], DataFrame]], schema: str, spark: SparkSession) -> tuple[DataFrame, dict[str, str]]:
+    """(path, *schema): the rows of every path that works, and what became of each; an error if none works."""
+    out, status = spark.createDataFrame([], f"path string, {schema}"), {}
+    for name, run in paths.items():
+        try:
+            out = out.unionByName(written(run().select(F.lit(name).alias("path"), *out.columns[1:]), "path"))
+            status[name] = "ok"
+        except Exception as e:  # either path may fail alone
+            status[name] = f"failed: {type(e).__name__}"
+    if paths and not any(s == "ok" for s in status.values()):
+        raise RuntimeError(f"no path works: {status}")
+    return out, status

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import graph
+from ..operators.shared import written
 from ..registry import query, table
 
 _G = """e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, min(l_quantity) AS len, CASE WHEN min(l_returnflag) = 'A' THEN 'stairs' ELSE 'walk' END AS kind, l_suppkey % 4 AS site FROM lineitem GROUP BY l_suppkey, l_partkey HAVING min(l_quantity) >= 48),
@@ -68,7 +69,7 @@ def vertical_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.vertical_edges(n, F.when(F.col("shaft") % 2 == 0, 15.0).otherwise(25.0))
 
 
-@query("SELECT s_suppkey AS id, CASE CAST(floor((d % 360) / 45 + 0.5) AS BIGINT) % 8 WHEN 0 THEN 'north' WHEN 1 THEN 'northeast' WHEN 2 THEN 'east' WHEN 3 THEN 'southeast' WHEN 4 THEN 'south' WHEN 5 THEN 'southwest' WHEN 6 THEN 'west' ELSE 'northwest' END AS direction, CASE WHEN f IS NULL THEN '' WHEN f = 0 THEN 'G' WHEN f <> floor(f) THEN CAST(floor(f) AS INT) || 'M' ELSE CAST(CAST(floor(f) AS INT) AS VARCHAR) END AS floor FROM (SELECT s_suppkey, s_suppkey * 7.5 + 720 AS d, CASE WHEN s_nationkey % 6 = 5 THEN NULL ELSE s_nationkey % 6 / 2.0 END AS f FROM supplier)")
+@query("SELECT s_suppkey AS id, CASE CAST(floor((d % 360) / 45 + 0.5) AS BIGINT) % 8 WHEN 0 THEN 'north' WHEN 1 THEN 'northeast' WHEN 2 THEN 'east' WHEN 3 THEN 'southeast' WHEN 4 THEN 'south' WHEN 5 THEN 'southwest' WHEN 6 THEN 'west' ELSE 'northwest' END AS direction, CASE WHEN f IS NULL THEN '' WHEN f = 0 THEN 'G' WHEN f = 1.5 THEN '1M' WHEN f <> floor(f) THEN CAST(f AS VARCHAR) ELSE CAST(CAST(floor(f) AS INT) AS VARCHAR) END AS floor FROM (SELECT s_suppkey, s_suppkey * 7.5 + 720 AS d, CASE WHEN s_nationkey % 6 = 5 THEN NULL ELSE s_nationkey % 6 / 2.0 END AS f FROM supplier)")
 def compass_and_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction names and floor labels."""
     s = table(spark, sf_dir, "supplier")
@@ -136,15 +137,14 @@ def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reachable(links: DataFrame, start: int) -> DataFrame:
     """(page) by rounds from a start, each round from the pages found last."""
     spark = links.sparkSession
-    graph.ensure_checkpoint_dir(links)
-    links = links.checkpoint()
-    seen = spark.createDataFrame([(start,)], "page long").checkpoint()
+    links = written(links, "links")
+    seen = written(spark.createDataFrame([(start,)], "page long"), "seen")
     front = seen
     while True:
-        new = front.join(links, front.page == links.a).select(F.col("b").alias("page")).where("page is not null").distinct().join(seen, "page", "left_anti").checkpoint()
-        if not new.limit(1).count():
+        new = written(front.join(links, front.page == links.a).select(F.col("b").alias("page")).where("page is not null").distinct().join(seen, "page", "left_anti"), "front")
+        if new.isEmpty():
             return seen
-        seen, front = seen.unionByName(new).checkpoint(), new
+        seen, front = written(seen.unionByName(new), "seen"), new
 
 
 @query("SELECT user_id, room, dist, row_number() OVER (PARTITION BY user_id ORDER BY dist NULLS LAST, room) AS place FROM (SELECT user_id, event_type AS room, min(CASE WHEN value > 60 THEN NULL ELSE value END) AS dist FROM events GROUP BY ALL)")

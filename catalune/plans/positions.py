@@ -70,16 +70,26 @@ def venue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.fold_venues(e, DAY)
 
 
-@query()
+@query(
+    f"""WITH {_EV}, g AS (SELECT key, event_id, tm, CASE WHEN source = 'room' THEN gallery END AS gallery FROM ev),
+    p AS (SELECT *, CASE WHEN gallery IS NULL THEN NULL WHEN CAST(gallery AS INT) % 5 = 0 AND CAST(gallery AS INT) < 100 THEN CAST(gallery AS INT) // 5 ELSE -1 END AS pos FROM g),
+    q AS (SELECT *, greatest(coalesce(max(pos) OVER w, 0), 0) AS before, last_value(gallery IGNORE NULLS) OVER w AS previous FROM p WINDOW w AS (PARTITION BY key ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT key, event_id, greatest(before, coalesce(pos, 0)) AS step, CASE WHEN pos > before THEN 'advance' WHEN pos < 0 AND previous IS DISTINCT FROM gallery THEN 'reroute' ELSE 'none' END AS outcome FROM q"""
+)
 def route_following(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress along a route of galleries (path-dependent: no SQL twin)."""
+    """Progress along a route of galleries."""
     route = [str(k) for k in range(0, 100, 5)]
     return ps.route_progress(_events(spark, sf_dir).select("key", "event_id", "at", "gallery"), route)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_EV}, e AS (SELECT key, event_id, tm, row_number() OVER (PARTITION BY key ORDER BY tm, event_id) AS i FROM ev),
+    r(key, i, event_id, tm, have) AS (SELECT key, i, event_id, tm, 3.0::DOUBLE FROM e WHERE i = 1
+      UNION ALL SELECT e.key, e.i, e.event_id, e.tm, least(3.0::DOUBLE, CASE WHEN have >= 1 THEN have - 1 ELSE have END + (e.tm - r.tm) / 60000.0::DOUBLE * (1 / 1440.0::DOUBLE)) FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+    SELECT key, event_id, have >= 1 AS admitted, CAST(CASE WHEN have >= 1 THEN 0 ELSE greatest(1, ceil((1 - have) / (1 / 1440.0::DOUBLE) * 60)) END AS INTEGER) AS retry_after FROM r"""
+)
 def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admitted requests at one a day with bursts of three (path-dependent: no SQL twin)."""
+    """Admitted requests at one a day with bursts of three."""
     e = _events(spark, sf_dir).select("key", "event_id", "at")
     return ps.rate_limited(e, per_minute=1 / 1440, burst=3)
 

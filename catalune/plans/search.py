@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fuzzy, retrieve
+from ..operators.shared import written
 from ..registry import query, table
 from ..sources.adapters import document_objects, part_galleries, part_objects
 
@@ -189,7 +190,7 @@ def ranked_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact pass, then the corrected query ('smlal widgte')."""
     parts = part_objects(spark, sf_dir)
-    post = retrieve.postings(parts, PART_WEIGHTS)
+    post = written(retrieve.postings(parts, PART_WEIGHTS), "postings")
     exact = retrieve.search(parts, "smlal widgte", PART_WEIGHTS, post=post)
     if exact.limit(1).count():
         return _round(exact.select("objectID", "title", "score"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("search", "browse", "audit", "vectors", "deltas", "graphs", "shapes", "positions", "ingest")
+_MODULES = ("search", "browse", "audit", "vectors", "deltas", "graphs", "shapes", "positions", "ingest", "sinks")
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:

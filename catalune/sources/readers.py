@@ -31,7 +31,12 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """A GeoJSON collection, one row a feature: kind, properties…, rings (arrays of points x, y)."""
     schema = f"features array<struct<properties:struct<{properties}>, geometry:struct<type:string, coordinates:array<array<array<double>>>>>>"
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    return feature_rows(spark.read.schema(schema).json(path, multiLine=True))
+
+
+def feature_rows(collections: DataFrame) -> DataFrame:
+    """The same of parsed collections (features)."""
+    f = collections.select(F.explode("features").alias("f"))
     rings = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return f.select(F.col("f.geometry.type").alias("kind"), "f.properties.*", rings.alias("rings"))
 
@@ -120,6 +125,13 @@ def facet_partitions(df: DataFrame, facet: str, sub: str, window: int) -> list[t
     return parts
 
 
+def page_windows(totals: DataFrame, size: int) -> DataFrame:
+    """(source, page, skip, rows): the requests that read each source's ``total`` rows; the last page is short. totals: (source, total)."""
+    pages = totals.where("total > 0").select("source", "total", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / size))).alias("page"))
+    skip = F.col("page") * size
+    return pages.select("source", "page", skip.alias("skip"), F.least(F.lit(size), F.col("total") - skip).alias("rows"))
+
+
 def resolve_terms(df: DataFrame, c: str, terms: DataFrame, key: str) -> DataFrame:
     """(key, names): ids of an array as names, in order; unknown ids drop out. terms: (id, name)."""
     ids = df.select(key, F.posexplode(c).alias("pos", "id"))

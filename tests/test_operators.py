@@ -1,5 +1,6 @@
 """Literals, edge cases and equivalences of the engine's operators."""
 
+import math
 import random
 
 import pytest
@@ -164,10 +165,14 @@ def test_decay_boundary():
 
 def test_route_and_bucket():
     p, seen = ps.Progress(), []
-    for g in ("a", "b", "z", "z", None, "b", "z", "c"):
-        p, what = ps.follow(["a", "b", "c"], p, g)
+    for g in ("a", "b", "z", "z", "y", "z", None, "z", "b", "z", "c", "a"):
+        p, what = ps.follow(["a", "b", "c", "b"], p, g)
         seen.append(what)
-    assert seen == ["none", "advanced", "reroute", "none", "none", "none", "reroute", "arrived"]
+    assert seen == ["none", "advance", "reroute", "none", "reroute", "reroute", "none", "none", "none", "reroute", "advance", "none"]
+    assert p == ps.Progress(2)
+    # a room known before the route opened is no new fix
+    assert ps.follow(["a"], ps.Progress(off="z"), "z")[1] == "none"
+    assert ps.follow(["a"], ps.Progress(off="z"), "y")[1] == "reroute"
     tokens, ok, _ = ps.take_token(0, None, 0, 60, 2)
     tokens, ok, _ = ps.take_token(tokens, 0, 0, 60, 2)
     tokens, ok, wait = ps.take_token(tokens, 0, 0, 60, 2)
@@ -220,3 +225,55 @@ def test_canonical_schema(spark):
     df = schema.canonical_objects(spark.createDataFrame([(1, None)], "objectID int, title string"))
     assert df.schema.names == schema.OBJECTS.names
     assert df.first().title == ""
+
+
+def test_route_windows_equal_follow(spark):
+    rng = random.Random(9)
+    rows = [(k, i, i // 2, rng.choice(["a", "b", "c", "y", "z", None])) for k in range(12) for i in range(40)]
+    route = ["a", "b", "c", "b"]
+    for known in (None, "z"):
+        want = {}
+        for k in range(12):
+            p = ps.Progress(off=known)
+            for _, i, _, g in rows[k * 40 : k * 40 + 40]:
+                p, what = ps.follow(route, p, g)
+                want[k, i] = (p.step, what)
+        df = spark.createDataFrame(rows, "key long, event_id long, at long, gallery string").repartition(5)
+        assert {(r.key, r.event_id): (r.step, r.outcome) for r in ps.route_progress(df, route, known).collect()} == want
+
+
+def test_stemmed_search_against_plain_python(spark):
+    from catalune.functions import text as tx
+
+    rows = [(1, "Economical walking", "n"), (2, "economics of walks", "n"), (3, "A walker", "n"), (4, "nothing", "n"), (5, "Walked, walked and economic", "n")]
+    df = spark.createDataFrame(rows, "objectID long, title string, artist string").withColumn("isHighlight", F.lit(False))
+    query = [tx.stem(w) for w in ("economical", "walks")]
+    docs = {i: [tx.stem(w) for w in tx.query_tokens(t)] for i, t, _ in rows}
+    mean = sum(map(len, docs.values())) / len(docs)
+    want = {}
+    for i, words in docs.items():
+        score = 0.0
+        for q in dict.fromkeys(query):
+            n = sum(q in d for d in docs.values())
+            tf = 10.0 * words.count(q)
+            score -= max(math.log((len(docs) - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        if set(query) & set(words):
+            want[i] = round(score, 9)
+    got = retrieve.search(df, "economical walks", {"title": 10.0}, relaxed=True, limit=None, stem=True)
+    assert {r.objectID: round(r.score, 9) for r in got.collect()} == want and want
+
+
+def test_one_path_of_two_may_fail(spark):
+    ok = lambda: spark.createDataFrame([(1, 0.5)], "objectID long, similarity double")
+    late = lambda: ok().select(F.raise_error(F.lit("x")).cast("long").alias("objectID"), "similarity")
+    got, status = vectors.locate({"label": ok, "image": late}, "objectID long, similarity double", spark)
+    assert [tuple(r) for r in got.collect()] == [("label", 1, 0.5)] and status["label"] == "ok" and status["image"].startswith("failed")
+    with pytest.raises(RuntimeError):
+        vectors.locate({"image": late}, "objectID long, similarity double", spark)
+
+
+def test_isolation_reaches_every_row(spark):
+    previous = spark.createDataFrame([("a", 1), ("b", 2)], "source string, id long")
+    second = lambda: spark.range(1, 100, 1, 1).select(F.lit("a").alias("source"), F.when(F.col("id") < 50, F.col("id")).otherwise(F.raise_error(F.lit("late"))).alias("id"))
+    rows, status = delta.isolated({"a": second, "b": lambda: previous.where("source = 'b'")}, previous)
+    assert sorted(map(tuple, rows.collect())) == [("a", 1), ("b", 2)] and status["a"].startswith("stale")
