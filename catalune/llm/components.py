@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = written(spark, _star(_star(edges, large=True), large=False), "links")
+        old, edges = edges, written(spark, _star(_star(edges, large=True), large=False), "links")
+        discard(old)
         after = state(edges)
         if after == before:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shinglejoin
 from . import textblock as tb
-from .common import written
+from .common import discard, written
 from .components import components
 
 RADIUS = 2
@@ -231,11 +231,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = NUM, den: i
     other and one stays.
     """
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    row = F.xxhash64("doc_id", "text")
+    own = docs.select("doc_id", "text", row.alias("row"))
     prints = written(spark, shinglejoin.prefixes(own, words, num, den), "shingles")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     firsts = written(spark, prints.groupBy("key").agg(F.min(rank).alias("first")), "shingle-firsts")
     roots = shinglejoin.classes(own, prints, firsts.select("key", F.col("first.row").alias("row")), words, num, den).withColumnRenamed("node", "key")
-    kept = firsts.join(roots, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(kept, "__row", "left_semi")
-    return out.dropDuplicates(["__row"]).drop("__row")
+    kept = firsts.join(roots, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    kept = written(spark, kept, "shingle-kept")
+    discard(prints, firsts)
+    out = docs.select(row.alias("row"), F.struct("*").alias("doc")).join(kept, "row", "left_semi")
+    return out.groupBy("row").agg(F.first("doc").alias("doc")).select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
