@@ -17,7 +17,8 @@ no piece holds), which factorises the lattice. Filtered lattices of distinct
 stretches are kept for reuse within a worker, up to a bound.
 
 A dummy space precedes the text and spaces become the model's space mark, as
-the model's own normaliser does; runs of spaces are single marks. A literal
+the model's own normaliser does; runs of them are in the lattice with the pieces
+that the model has for them. A literal
 space mark in the text is spelt in bytes, so decoding restores every text.
 Null texts are empty; an empty text has no pieces. Repeated rows get equal
 segmentations; a null key draws as key 0. Extra columns are ignored.
@@ -64,8 +65,8 @@ class Vocabulary:
                 self.bytes.append(b"")
             else:
                 self.bytes.append(piece.replace("▁", " ").encode())
-                # pieces of several marks would cross the cuts before spaces
-                if piece.count("▁") == (piece[0] == "▁"):
+                # a mark after a letter, within a piece, would cross the cuts before spaces
+                if "▁" not in piece.lstrip("▁"):
                     self.text[piece] = i
         ranks = np.array([-sp.get_score(i) for i in range(n)])
         usable = np.array(sorted(self.text.values()))
@@ -149,7 +150,7 @@ class Lattice:
     def stretches(self, codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
         """Starts of the stretches that no piece crosses; codes hold marks for spaces."""
         cut = np.ones(len(codes), bool)
-        cut[1:] = ~self.pair_table[self._pair(codes[:-1], codes[1:])] | (codes[1:] == _MARK)
+        cut[1:] = ~self.pair_table[self._pair(codes[:-1], codes[1:])] | ((codes[1:] == _MARK) & (codes[:-1] != _MARK))
         cut[text_starts[text_starts < len(codes)]] = True
         return np.flatnonzero(cut)
 
