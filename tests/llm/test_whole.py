@@ -69,3 +69,19 @@ def test_line_dedup_of_every_line(spark, tmp_path):
     assert {r.doc_id: r.n_removed_lines for r in Q.op8_line_dedup(spark, str(tmp_path)).collect()} == want
     staged = {r.doc_id: r.text for r in C.drop_repeated_lines(spark, df, "").collect()}
     assert all(len(staged[d].split("\n")) == max(1, len(t.split("\n")) - want[d]) for d, t in rows)
+
+
+def test_parity_is_a_lower_bound():
+    import numpy as np
+
+    from catalune.llm import shinglejoin
+
+    rng = random.Random(8)
+    for n, m in ((3, 3), (500, 400), (600, 490), (1100, 1000), (0, 5), (4000, 3500)):
+        common = rng.randrange(min(n, m) + 1)
+        draw = lambda k: {rng.getrandbits(64) for _ in range(k)}
+        both = draw(common)
+        a, b = (np.array(sorted(both | draw(k - common)), np.uint64) for k in (n, m))
+        far = shinglejoin.apart(shinglejoin.parity(a), shinglejoin.parity(b))
+        assert far <= len(set(a.tolist()) ^ set(b.tolist())) and far % 2 == len(a) % 2 ^ len(b) % 2
+        assert far >= 0.5 * min(len(set(a.tolist()) ^ set(b.tolist())), max(n, m))
