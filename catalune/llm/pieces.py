@@ -38,8 +38,8 @@ from . import textblock as tb
 
 ALPHA = 1.0
 SEED = 20240229
-KEPT_NODES = 1_500_000
-BLOCK = 1 << 20
+KEPT_NODES = 600_000
+BLOCK = 1 << 19
 FALLBACK = -16.0
 _MARK, _LITERAL = 0x2581, 0x110000
 _loaded: dict[tuple, Lattice] = {}
