@@ -56,12 +56,15 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key``: joins by it do not move the table again."""
+    """``df`` as a table in the shared folder, bucketed by ``key``: joins by it do not move the table again.
+
+    No dictionaries: what it holds are mostly hashes.
+    """
     spark = df.sparkSession
     path = _path(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.bucketBy(n, key).options(path=path, compression="lz4_raw", **{"parquet.enable.dictionary": "false"}).saveAsTable(made)
+    df.write.bucketBy(n, key).options(path=path, compression="zstd", **{"parquet.enable.dictionary": "false"}).saveAsTable(made)
     del df
     _release(spark)
     return spark.table(made)

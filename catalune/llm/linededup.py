@@ -27,8 +27,8 @@ hash of the row. Every line with a token takes part; blank lines stay.
 Rows with the same id and text are one document here: their lines do not
 remove each other, and all get the same result. Null texts have no lines;
 empty tables give empty results. Columns of any name and ids of any type may
-be there; n_lines and n_removed_lines are replaced. Identity of tokens and
-classes is by 64-bit hash.
+be there; n_lines and n_removed_lines are replaced. Identity of classes
+is by 64 bits of hash, that of tokens within two lines by 56.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ BUCKETS = 1 << 16  # the table of ranks is a literal in the plans
 SKETCH = 3
 HEADS = 16
 LONG, LONGER = 64, 192  # tokens of a line above which signatures have 128 and 192 bins
+_TOKEN = (1 << 56) - 1  # the bits of a token's hash
 #: what Python's str.split() parts words at
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
@@ -69,8 +70,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame) -> DataFrame:
     """(key, place, times, set) of each class, bucketed by key; place: the first (doc_id, line, row)."""
     firsts = _lines(docs).groupBy("key").agg(F.min(F.struct("doc_id", "line", "row")).alias("place"), F.count("*").alias("times"), F.first("words").alias("words"))
-    hashes = F.array_distinct(F.transform(F.split(F.lower("words"), f"[{SPACE}]"), lambda w: F.xxhash64(w)))
-    return bucketed(firsts.select("key", "place", "times", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("set")), "key", "line-classes")
+    hashes = F.array_distinct(F.transform(F.split(F.lower("words"), f"[{SPACE}]"), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_TOKEN))))
+    return bucketed(firsts.select("key", "place", "times", F.array_remove(hashes, F.xxhash64(F.lit("")).bitwiseAND(F.lit(_TOKEN))).alias("set")), "key", "line-classes")
 
 
 def rarity(classes: DataFrame) -> bytearray:
@@ -83,12 +84,12 @@ def rarity(classes: DataFrame) -> bytearray:
 
 
 def _ordered(ranks: bytearray) -> Column:
-    """The set in order of rarity, each token as its rank above the other bits of its hash."""
+    """The set in order of rarity, each token as its rank above its hash."""
     table = F.lit(ranks)
 
     def ranked(h: Column) -> Column:
         byte = F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1))
-        return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 56).bitwiseOR(h)
 
     return F.sort_array(F.transform("set", ranked))
 
