@@ -85,3 +85,125 @@ def test_parity_is_a_lower_bound():
         far = shinglejoin.apart(shinglejoin.parity(a), shinglejoin.parity(b))
         assert far <= len(set(a.tolist()) ^ set(b.tolist())) and far % 2 == len(a) % 2 ^ len(b) % 2
         assert far >= 0.5 * min(len(set(a.tolist()) ^ set(b.tolist())), max(n, m))
+
+
+def test_op5_against_brute_force(spark):
+    import re
+
+    from xxhash import xxh64_intdigest
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    prints = {}
+    for r in docs.collect():
+        w = word.findall(bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode()))
+        shingles = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+        h = [xxh64_intdigest(s, 42) for s in shingles]
+        prints[r.doc_id] = sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h))
+    groups = _components(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in Q.op5_simhash(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: (f"{prints[i]:016x}", groups[i]) for i in prints}
+
+
+def _components(items, linked):
+    root = {i: i for i in items}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in items:
+        for j in items:
+            if i < j and linked(items[i], items[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in items}
+
+
+def test_op3_against_brute_force(spark):
+    import collections
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from catalune.llm import fingerprint
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    texts = [t for _, t in rows]
+    following = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
+    # a plain reading of the sampling, a text at a time
+    own, other = (fingerprint.signatures(pa.array(x, pa.large_string())) for x in (texts, edited))
+    got = {r.doc_id: r for r in Q.op3_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        r = got[i]
+        nxt = own[(k + 1) % len(rows)]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited[k].encode()).hexdigest())
+        assert abs(r.near_edited - np.mean(own[k] == other[k])) < 1e-6 and abs(r.near_next - np.mean(own[k] == nxt)) < 1e-6
+
+    def weights(t):
+        import re
+
+        count = collections.Counter(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode().lower()))
+        return {w: n * min(max(len(w) - 3, 1), 9) for w, n in count.items()}
+
+    # likeness estimates generalised Jaccard similarity: unbiased, standard error 1/16 at most for one pair
+    off = []
+    for k in range(len(rows)):
+        a, b = weights(texts[k]), weights(edited[k])
+        top = sum(max(a.get(w, 0), b.get(w, 0)) for w in a.keys() | b.keys())
+        if top:
+            off.append(np.mean(own[k] == other[k]) - sum(min(a.get(w, 0), b.get(w, 0)) for w in a.keys() | b.keys()) / top)
+    assert abs(np.mean(off)) < 0.02 and np.abs(off).max() < 0.27
+
+
+def test_maximal_segments_by_definition():
+    from catalune.llm.toxicity import maximal_segments
+
+    rng = random.Random(4)
+    for _ in range(300):
+        s = [rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randrange(14))]
+
+        def split(a, e):
+            """Ruzzo and Tompa's definition: the best segment, then those of what is left of it and right of it."""
+            best = None
+            for i in range(a, e):
+                total = 0
+                for j in range(i, e):
+                    total += s[j]
+                    key = (total, -(j - i))
+                    if total > 0 and (best is None or key > best[0]):
+                        best = key, i, j
+            if best is None:
+                return []
+            (total, _), i, j = best
+            return [*split(a, i), (i, j, total), *split(j + 1, e)]
+
+        want, got = split(0, len(s)), maximal_segments(s)
+        assert sorted(x[2] for x in got) == sorted(x[2] for x in want) and sum(x[2] for x in got) == sum(x[2] for x in want)
+        # every one is maximal: no proper part scores as much, and none can be joined to its neighbour
+        for a, e, t in got:
+            assert sum(s[a : e + 1]) == t
+            assert all(sum(s[a:k]) > 0 for k in range(a + 1, e + 2)) and all(sum(s[k : e + 1]) > 0 for k in range(a, e + 1))
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, tmp_path):
+    for name, rows in (("full", awkward), ("empty", awkward.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        rows.select("doc_id", rows.doc_id.isNotNull().cast("int").alias("quality"), (rows.doc_id == 5).cast("int").alias("toxic")).write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "x y"), (2, ""), (3, "text without an id which is nobody")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = rows
+        for k, (stage, f) in enumerate(C.STAGES):
+            out = f(spark, docs, sf)
+            assert out.columns == rows.columns or k == len(C.STAGES) - 1
+            n = out.count()
+            assert n <= docs.count() and (name == "full" or n == 0), stage
+            if stage == "line dedup":
+                assert n == docs.count()
+            if stage == "decontamination":
+                assert not [r for r in out.collect() if r.doc_id is None]  # its null id does not keep it
+            docs = out
