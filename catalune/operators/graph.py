@@ -161,7 +161,7 @@ def nearby_pairs(points: DataFrame, keys: list[str], distance: float, same: bool
 
 
 def repair(nodes: DataFrame, edges: DataFrame, by: list[str], distance: float, passes: int = 200) -> DataFrame:
-    """Edges with bridges added, pass after pass until none is found (the reference stops after 3 passes or after 200, by site).
+    """Edges with bridges added, pass after pass until none is found, ``passes`` at most.
 
     In a pass each node outside its site's main component gets the shortest link
     to a node of it within ``distance``; ties go to the smaller id. Labels hold
