@@ -17,7 +17,8 @@ other. Fewer words than a shingle make one shingle. Repeated rows have equal
 fingerprints and share a component. Rows with a null id are fingerprinted and
 take part in linking, but a component id is the smallest non-null id. Extra
 columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``,
-which links by the shingles themselves (see ``shinglejoin``).
+which checks links on the shingles themselves and adds what is missing (see
+``shinglejoin``).
 """
 
 from __future__ import annotations
@@ -222,21 +223,41 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, tile:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def close_classes(docs: DataFrame, firsts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b) pairs of classes that connect all classes whose fingerprints link. firsts: (key, row), a row of docs (doc_id, row, text) of each class.
+
+    A class meets the least one of its fingerprint, and the least ones of linked
+    fingerprints meet: pairs grow with the classes however large a group is.
+    """
+    prints = fingerprints(docs, keep="row").select("row", "fp")
+    own = written(docs.sparkSession, firsts.join(prints, "row").select("key", "fp").distinct(), "simhash-classes")
+    least = written(docs.sparkSession, own.groupBy("fp").agg(F.min("key").alias("least")), "simhash-nodes")
+    same = own.join(least, "fp").where("least < key").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    of = lambda x: least.select(F.col("fp").alias(f"f{x}"), F.col("least").alias(x))
+    near = links(least, radius, tile).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("a"), "fa").join(of("b"), "fb")
+    pairs = written(docs.sparkSession, same.union(near.select("a", "b")), "simhash-pairs")
+    discard(own, least)
+    return pairs
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one row of each group: the one of smallest id (null ids last), then of smallest text hash.
 
-    Groups are linked by a Jaccard similarity of ``num / den`` or more of the
-    shingle sets, found exactly by ``shinglejoin`` rather than by fingerprints,
-    whose distance tells too little about it. Equal rows are copies of each
-    other and one stays.
+    Texts whose fingerprints link in tiles (``links``) are near copies if the
+    exact check confirms a Jaccard similarity of ``num / den`` or more of their
+    shingle sets. As fingerprints of texts that similar can be many bits apart,
+    ``shinglejoin`` then finds the similar pairs that tiles leave unlinked, so
+    that groups are whole. Equal rows are copies of each other and one stays.
     """
     spark = docs.sparkSession
     row = F.xxhash64("doc_id", "text")
     own = docs.select("doc_id", "text", row.alias("row"))
     prints = written(spark, shinglejoin.prefixes(own, words, num, den), "shingles")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    firsts = written(spark, prints.groupBy("key").agg(F.min(rank).alias("first")), "shingle-firsts")
-    roots = shinglejoin.classes(own, prints, firsts.select("key", F.col("first.row").alias("row")), words, num, den).withColumnRenamed("node", "key")
+    firsts = written(spark, prints.groupBy("key").agg(F.min(rank).alias("first"), F.min("n").alias("n")), "shingle-firsts")
+    rows = firsts.select("key", F.col("first.row").alias("row"))
+    close = close_classes(own, rows.where("n > 0"))
+    roots = shinglejoin.classes(own, prints, rows, close, words, num, den).withColumnRenamed("node", "key")
     kept = firsts.join(roots, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept = written(spark, kept, "shingle-kept")
     discard(prints, firsts)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from catalune.llm import queries as Q
 from catalune.llm import simhash
@@ -207,3 +209,20 @@ def test_pipeline_stages_on_awkward_rows(spark, awkward, tmp_path):
             if stage == "decontamination":
                 assert not [r for r in out.collect() if r.doc_id is None]  # its null id does not keep it
             docs = out
+
+
+def test_near_dedup_goes_by_fingerprint_links(spark, monkeypatch):
+    rng = random.Random(31)
+    words = [f"v{k}" for k in range(900)]
+    base = [[rng.choice(words) for _ in range(600)] for _ in range(6)]
+    rows = [(10 * g + k, " ".join(b if k == 0 else [*b[:300], f"new{g}{k}", *b[301:]])) for g, b in enumerate(base) for k in range(4)]
+    df = spark.createDataFrame([*rows, (98, ""), (99, None)], "doc_id long, text string")
+    row = F.xxhash64("doc_id", "text")
+    of = {r.row: r.doc_id for r in df.select("doc_id", row.alias("row")).collect()}
+    one = df.where("doc_id < 90").select(row.alias("key"), row.alias("row"))
+    got = simhash.close_classes(df.select("doc_id", "text", row.alias("row")), one).collect()
+    assert len(got) >= 12 and all(of[r.a] // 10 == of[r.b] // 10 for r in got)
+    called = []
+    monkeypatch.setattr(simhash, "links", lambda *a, f=simhash.links: (called.append(a), f(*a))[1])
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {0, 10, 20, 30, 40, 50, 98}
+    assert called
