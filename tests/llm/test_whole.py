@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from catalune.llm import queries as Q
-from catalune.llm import simhash
+from catalune.llm import linededup, simhash
 
 
 def _groups(sets, similar):
@@ -73,6 +73,42 @@ def test_line_dedup_of_every_line(spark, tmp_path):
     assert all(len(staged[d].split("\n")) == max(1, len(t.split("\n")) - want[d]) for d, t in rows)
 
 
+def test_line_classes_are_signed_once(spark):
+    rng = random.Random(7)
+    base = [" ".join(f"t{rng.randrange(400)}" for _ in range(n)) for n in (6, 30, 70, 150, 300)]
+    rows = [(k, f"{x} {rng.choice('abc')}{k}") for k, x in enumerate(base * 4)]
+    classes = linededup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    for r in classes.collect():
+        odd = [0, 0, 0]
+        for h in r.set:
+            odd[0] ^= 1 << (h & 63)
+            odd[1] ^= (r.n > linededup.LONG and h & 64 == 64) << (h & 63)
+            odd[2] ^= (r.n > linededup.LONGER and h & 192 == 128) << (h & 63)
+        assert r.n == len(r.set) and r.low == sorted(r.set)[: linededup.SKETCH] and [s % (1 << 64) for s in (r.s0, r.s1, r.s2)] == odd
+    settled = classes.limit(1).select("key")
+    pairs = linededup.candidates(classes, settled, linededup.rarity(classes), 4, 5)
+    sets = {r.key: set(r.set) for r in classes.collect()}
+    shut = settled.first().key
+    got = {frozenset(p) for p in pairs.collect()}
+    assert got >= {frozenset((a, b)) for a in sets for b in sets if a < b and shut not in (a, b) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    # at size, the prefix rows are made and dealt out once, for both sides
+    at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = linededup.candidates(classes, settled, linededup.rarity(classes), 4, 5)
+        assert {frozenset(p) for p in big.collect()} == got
+        plan = big._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    assert plan.count("Generate posexplode") == 1 and "ReusedExchange" in plan
+
+
+def test_lines_part_where_python_parts_them(spark):
+    other = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and c != 10]
+    df = spark.createDataFrame([(f"a{c}b", len(f"a{c}b".split())) for c in other if c.isspace() or ord(c) < 0x3100], "x string, n int")
+    assert df.where(F.size(F.split("x", f"[{linededup.SPACE}]")) != F.col("n")).count() == 0
+
+
 def test_parity_is_a_lower_bound():
     import numpy as np
 
